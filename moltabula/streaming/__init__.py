@@ -1,0 +1 @@
+"""No operator here is streaming: every table is bounded, with no event time and no late data."""
