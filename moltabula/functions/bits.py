@@ -29,17 +29,18 @@ def token_fingerprint(token_array: Column, n_bits: int = N_BITS) -> Column:
 
 def pack_words(on_bits: Column, n_bits: int = N_BITS) -> Column:
     """Array of 64-bit words; bit ``b`` is bit ``b % 64`` of word ``b div 64``."""
+    one = F.lit(1).cast("bigint")
 
-    def word(index: Column) -> Column:
-        low = index * WORD
-        inside = F.filter(on_bits, lambda b: (b >= low) & (b < low + WORD))
+    def word(bits: Column, index: Column) -> Column:
+        inside = F.filter(bits, lambda b: F.shiftright(b, 6) == index)
         return F.aggregate(
             inside,
             F.lit(0).cast("bigint"),
-            lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (b - low).cast("int"))),
+            lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b.bitwiseAND(WORD - 1))),
         )
 
-    return F.transform(F.sequence(F.lit(0), F.lit((n_bits + WORD - 1) // WORD - 1)), word)
+    indices = F.sequence(F.lit(0), F.lit((n_bits + WORD - 1) // WORD - 1))
+    return bind(on_bits.cast("array<int>"), lambda bits: F.transform(indices, lambda index: word(bits, index)))
 
 
 def unpack_words(words: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moltabula.constants import N_BITS
 from moltabula.functions.labels import decode_label
 from moltabula.functions.vectors import as_doubles, sigmoid
 from moltabula.operators.metrics import ranking_metrics
@@ -53,15 +54,17 @@ def score_linear(model, df: DataFrame, out: str = "score") -> DataFrame:
     return scored.withColumn(out, vector_to_array("probability")[1]).drop(*extra)
 
 
-def score_from_weights(df: DataFrame, weights: DataFrame, on_bits: str = "on_bits", out: str = "score") -> DataFrame:
+def score_from_weights(df: DataFrame, weights: DataFrame, on_bits: str = "on_bits", out: str = "score",
+                       n_bits: int = N_BITS) -> DataFrame:
     """Sigmoid of the weight sum of the set bits, from a ``(feature, weight)`` table with intercept -1.
 
-    The table is as long as the feature width and becomes one map value.
+    The table becomes one array value of ``n_bits + 1`` numbers, the intercept first.
     """
-    lookup = weights.agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight")))).scalar()
-    terms = F.transform(on_bits, lambda b: F.coalesce(F.element_at("_w", b.cast("int")), F.lit(0.0)))
-    bias = F.coalesce(F.element_at("_w", F.lit(-1)), F.lit(0.0))
-    margin = bias + F.aggregate(terms, F.lit(0.0), lambda acc, w: acc + w)
+    known = weights.agg(F.map_from_entries(F.collect_list(F.struct(F.col("feature").cast("int"), "weight"))).alias("m"))
+    places = F.sequence(F.lit(-1), F.lit(n_bits - 1))
+    lookup = known.select(F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).scalar()
+    terms = F.transform(on_bits, lambda b: F.get("_w", b.cast("int") + 1))
+    margin = F.get("_w", F.lit(0)) + F.aggregate(terms, F.lit(0.0), lambda acc, w: acc + w)
     return df.withColumn("_w", lookup).withColumn(out, sigmoid(margin)).drop("_w")
 
 
@@ -86,7 +89,7 @@ def _chunk_gradient(on_bits: str, label: str, weight: str, coefficients_: np.nda
     return run
 
 
-def train_incremental(df: DataFrame, key: str, on_bits: str = "on_bits", label: str = "label", n_bits: int = 2048,
+def train_incremental(df: DataFrame, key: str, on_bits: str = "on_bits", label: str = "label", n_bits: int = N_BITS,
                       chunks: int = 16, alpha: float = 1e-4, rate: float = 1.0, seed: int = 42) -> DataFrame:
     """One pass of log-loss gradient steps over hashed chunks; ``(feature, weight)`` with intercept -1.
 

@@ -76,6 +76,12 @@ def apply_rules(df: DataFrame, text: str, rules: list[Rule], chain: bool = False
     """
     if not rules:
         raise ValueError("no rules")
+    def tagged(order: int, rule: Rule, products: Column) -> Column:
+        return F.transform(products, lambda product, site: F.struct(
+            F.lit(order).alias("rule_order"), F.lit(rule.name).alias("rule"), site.alias("site"),
+            product.alias("product"),
+        ))
+
     made = []
     alive = F.lit(True)
     for order, rule in enumerate(rules):
@@ -84,9 +90,7 @@ def apply_rules(df: DataFrame, text: str, rules: list[Rule], chain: bool = False
         products = rewrite_sites(F.col(text), rule)
         if chain:
             products = F.when(alive, products).otherwise(F.expr("cast(array() as array<string>)"))
-        made.append(F.transform(products, lambda p, site, o=order, r=rule: F.struct(
-            F.lit(o).alias("rule_order"), F.lit(r.name).alias("rule"), site.alias("site"), p.alias("product")
-        )))
+        made.append(tagged(order, rule, products))
     grown = df.withColumn("_made", F.explode(F.flatten(F.array(*made))))
     return grown.select(*df.columns, "_made.*").filter(F.col("product").isNotNull())
 

@@ -20,9 +20,9 @@ from moltabula.functions.vectors import as_doubles, dot, l2_norm
 from moltabula.operators import contrastive, dedup, features, fingerprint, metrics, models, overlap, quality
 from moltabula.operators import rowfn, rules, sampling, similarity, split
 from moltabula.operators.rank import rank_by_value, seeded_hash
-from moltabula.scratch import scratch_path
+from moltabula.scratch import scratch_path, written
 from moltabula.sources import readers, writers
-from moltabula.sources.resolve import read_table
+from moltabula.sources.resolve import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +51,7 @@ def tidy(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def molecules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id")
     marks = table(spark, folder, "labels").select("doc_id", "toxic")
     source = F.when(F.col("toxic") == 1, "PKS").when(F.col("lang") == "en", "bio").otherwise("chem")
     return docs.join(marks, "doc_id", "left").select(
@@ -78,8 +78,13 @@ def prints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.hash_fingerprint(rows, "smiles")
 
 
+def stored_prints(spark: SparkSession, folder: str) -> DataFrame:
+    return written(prints(spark, folder).select("ordinal", "on_bits", "label"), "fingerprints")
+
+
 def split_prints(spark: SparkSession, folder: str) -> DataFrame:
-    return prints(spark, folder).join(assigned(spark, folder).select("ordinal", "split"), "ordinal")
+    rows = prints(spark, folder).withColumn("smiles", key_digest(F.col("smiles"))).drop("text")
+    return written(rows.join(assigned(spark, folder).select("ordinal", "split"), "ordinal"), "fingerprints")
 
 
 def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,7 +267,7 @@ def keep_first(spark, folder):
 @query
 def first_seen_last_wins(spark, folder):
     lines = table(spark, folder, "lineitem")
-    order = ["l_returnflag", "l_linenumber", "l_suppkey"]
+    order = ["l_returnflag", "l_linenumber", "l_suppkey", "l_partkey"]
     return dedup.first_seen_last_wins(lines, "l_orderkey", "l_partkey", order, exclude=())
 
 
@@ -368,7 +373,7 @@ def weighted_resample(spark, folder):
 
 @query
 def hash_fingerprint(spark, folder):
-    return prints(spark, folder).select("ordinal", F.explode("on_bits").cast("bigint").alias("bit"))
+    return prints(spark, folder).select("ordinal", F.explode(F.col("on_bits").cast("array<bigint>")).alias("bit"))
 
 
 @query
@@ -395,7 +400,7 @@ def run_pack_words(spark, folder):
 @query
 def run_unpack_words(spark, folder):
     back = unpack_words(pack_words(F.col("on_bits")))
-    return prints(spark, folder).select("ordinal", F.explode(back).cast("bigint").alias("bit"))
+    return prints(spark, folder).select("ordinal", F.explode(back.cast("array<bigint>")).alias("bit"))
 
 
 @query
@@ -460,12 +465,12 @@ def tanimoto_nn_prefix(spark, folder):
 
 @query
 def knn_graph(spark, folder):
-    return tidy(similarity.knn_graph(prints(spark, folder)))
+    return tidy(similarity.knn_graph(stored_prints(spark, folder)))
 
 
 @query
 def knn_lsh(spark, folder):
-    return tidy(similarity.knn_lsh(prints(spark, folder), k=10))
+    return tidy(similarity.knn_lsh(stored_prints(spark, folder), k=10))
 
 
 @query
@@ -474,6 +479,7 @@ def overlap_nn(spark, folder):
         "ordinal", "split", encode_label(F.col("source")).alias("label"), tokens(F.col("smiles")).alias("tokens"),
         key_digest(F.col("smiles")).alias("smiles"),
     )
+    rows = written(rows, "tokens")
     test, train = (rows.filter(F.col("split") == s) for s in ("test", "train"))
     return tidy(overlap.overlap_nn(test, train))
 
@@ -632,7 +638,7 @@ def bit_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_from_weights(spark, folder):
-    scored = models.score_from_weights(prints(spark, folder), bit_weights(spark, folder))
+    scored = models.score_from_weights(prints(spark, folder).drop("text"), bit_weights(spark, folder))
     return tidy(scored.select("ordinal", "score"))
 
 
@@ -682,8 +688,13 @@ def train_mlp(spark, folder):
 
 @query
 def project_2d(spark, folder):
-    rows = training_rows(spark, folder).withColumn("smiles", key_digest(F.col("smiles")))
-    return tidy(models.project_2d(rows), 6)
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id", F.col("vec_id").cast("string").alias("smiles"), F.col("label").cast("string").alias("source"),
+        (F.col("label") == 3).cast("int").alias("label"),
+        array_to_vector(as_doubles(F.col("embedding"))).alias("features"),
+    )
+    parts = split.stratified_split(rows.select("vec_id", "label"), "vec_id").drop("label")
+    return tidy(models.project_2d(rows.join(parts, "vec_id")), 6)
 
 
 @query

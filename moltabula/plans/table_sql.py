@@ -252,9 +252,9 @@ SQL: dict[str, str] = {
     "keep_first": """SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus FROM (SELECT *,
         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1""",
     "first_seen_last_wins": """WITH f AS (SELECT *, row_number() OVER (PARTITION BY l_partkey
-          ORDER BY l_orderkey, l_returnflag, l_linenumber, l_suppkey) AS r FROM lineitem),
+          ORDER BY l_orderkey, l_returnflag, l_linenumber, l_suppkey, l_partkey) AS r FROM lineitem),
         g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey
-          ORDER BY l_returnflag DESC, l_linenumber DESC, l_suppkey DESC) AS last,
+          ORDER BY l_returnflag DESC, l_linenumber DESC, l_suppkey DESC, l_partkey DESC) AS last,
           count(*) OVER (PARTITION BY l_orderkey) AS n_counted FROM f WHERE r = 1)
         SELECT l_orderkey, l_partkey, n_counted FROM g WHERE last = 1""",
     "distinct_products": f"""SELECT DISTINCT sha256({_norm('text')}) AS key FROM (

@@ -70,3 +70,12 @@ def load_split(spark: SparkSession, base: str, split: str, features: bool | None
                columns: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
     path = first_existing(spark, split_candidates(base, split, features))
     return require_columns(read_table(spark, path, columns, schema), ["smiles", "source"])
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over all cores when it has fewer partitions than there are; else leave it alone.
+
+    A table of many files passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
