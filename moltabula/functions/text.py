@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from moltabula.constants import FORBIDDEN_CHARACTERS
 
+MARKS = "[" + re.escape("".join(FORBIDDEN_CHARACTERS)) + "]"
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
@@ -22,7 +24,7 @@ def blank_to_null(col: Column) -> Column:
 
 def normalize_key(col: Column) -> Column:
     """Trimmed key without stereo marks and with single spaces; null when nothing is left."""
-    no_marks = F.translate(strip(col), "".join(FORBIDDEN_CHARACTERS), "")
+    no_marks = F.regexp_replace(col, MARKS, "")
     return blank_to_null(F.regexp_replace(no_marks, r"[ \t\n\r\x0B\f]+", " "))
 
 

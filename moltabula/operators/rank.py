@@ -6,6 +6,9 @@ buckets, a table of a few thousand rows, are added. No task sees more than one b
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +57,17 @@ def _number(df: DataFrame, bucket: str, order: list[str], groups: list[str], out
     keys = [*groups, bucket]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     offsets = bucket_offsets(sizes, groups, bucket, {"n": "_size"})
+    offsets = offsets.select(*[F.col(k).alias(f"_at_{k}") for k in keys], "_before_n", "_all_n")
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    # null-safe: a null group counts as a group, and no null test is pushed into the scan to
+    # evaluate the hash once more
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys])
     return (
         df.withColumn("_inside", inside)
-        .join(offsets, keys)
+        .join(offsets, same)
         .withColumn(out, F.col("_inside") + F.col("_before_n"))
         .withColumn(total, F.col("_all_n"))
-        .drop("_inside", "_before_n", "_all_n", bucket)
+        .drop("_inside", "_before_n", "_all_n", bucket, *[f"_at_{k}" for k in keys])
     )
 
 

@@ -50,32 +50,57 @@ def tidy(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*[column(f) for f in df.schema.fields])
 
 
-def molecules(spark: SparkSession, folder: str) -> DataFrame:
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    marks = table(spark, folder, "labels").select("doc_id", "toxic")
+    source = F.when(F.col("toxic") == 1, "PKS").when(F.col("lang") == "en", "bio").otherwise("chem")
+    return docs.join(marks, "doc_id", "left").select(F.col("doc_id").alias("ordinal"), "text", source.alias("source"))
+
+
+def compiled(spark: SparkSession, folder: str, *columns) -> DataFrame:
+    """Named columns of the molecule table, normalised once and stored, as later stages read it often."""
     docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id")
     marks = table(spark, folder, "labels").select("doc_id", "toxic")
     source = F.when(F.col("toxic") == 1, "PKS").when(F.col("lang") == "en", "bio").otherwise("chem")
-    return docs.join(marks, "doc_id", "left").select(
-        F.col("doc_id").alias("ordinal"), "text", normalize_key(F.col("text")).alias("smiles"), source.alias("source")
+    rows = docs.join(marks, "doc_id", "left").select(
+        F.col("doc_id").alias("ordinal"), normalize_key(F.col("text")).alias("smiles"), source.alias("source")
     )
+    return written(rows.select(*columns), "molecules")
+
+
+def molecules(spark: SparkSession, folder: str) -> DataFrame:
+    key = key_digest(F.col("smiles")).alias("key")
+    return compiled(spark, folder, "ordinal", "smiles", key, "source").filter(F.col("smiles").isNotNull())
 
 
 def keyed(spark: SparkSession, folder: str) -> DataFrame:
-    """Molecules with the digest of the key, so that keyed shuffles do not move texts."""
-    rows = molecules(spark, folder).filter(F.col("smiles").isNotNull())
-    return rows.select("ordinal", key_digest(F.col("smiles")).alias("key"), "source")
+    """Molecules with the digest of the key only, so that keyed shuffles do not move texts."""
+    key = key_digest(F.col("smiles")).alias("key")
+    return compiled(spark, folder, "ordinal", key, "source").filter(F.col("key").isNotNull())
+
+
+def labels_of(rows: DataFrame) -> DataFrame:
+    return split.label_any(rows, "key", encode_label(F.col("source")) == 1)
+
+
+def assigned_rows(rows: DataFrame) -> DataFrame:
+    return split.assign_splits(rows, split.stratified_split(labels_of(rows), "key"), "key")
+
+
+def prints_of(rows: DataFrame) -> DataFrame:
+    return fingerprint.hash_fingerprint(rows.withColumn("label", encode_label(F.col("source"))), "smiles")
 
 
 def key_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return split.label_any(keyed(spark, folder), "key", encode_label(F.col("source")) == 1)
+    return labels_of(keyed(spark, folder))
 
 
 def assigned(spark: SparkSession, folder: str) -> DataFrame:
-    return split.assign_splits(keyed(spark, folder), split.stratified_split(key_labels(spark, folder), "key"), "key")
+    return assigned_rows(keyed(spark, folder))
 
 
 def prints(spark: SparkSession, folder: str) -> DataFrame:
-    rows = molecules(spark, folder).withColumn("label", encode_label(F.col("source")))
-    return fingerprint.hash_fingerprint(rows, "smiles")
+    return prints_of(molecules(spark, folder))
 
 
 def stored_prints(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,8 +108,10 @@ def stored_prints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_prints(spark: SparkSession, folder: str) -> DataFrame:
-    rows = prints(spark, folder).withColumn("smiles", key_digest(F.col("smiles"))).drop("text")
-    return written(rows.join(assigned(spark, folder).select("ordinal", "split"), "ordinal"), "fingerprints")
+    """Fingerprints with their split, stored as the fingerprint stage does."""
+    rows = molecules(spark, folder)
+    marked = assigned_rows(rows.select("ordinal", "key", "source")).select("ordinal", "split")
+    return written(prints_of(rows).drop("smiles").join(marked, "ordinal"), "fingerprints")
 
 
 def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,17 +200,17 @@ def ml_export(spark, folder):
 
 @query
 def label_encode(spark, folder):
-    return tidy(molecules(spark, folder).select("ordinal", encode_label(F.col("source")).alias("label")))
+    return tidy(labelled(spark, folder).select("ordinal", encode_label(F.col("source")).alias("label")))
 
 
 @query
 def label_decode(spark, folder):
-    return molecules(spark, folder).select("ordinal", decode_label(encode_label(F.col("source"))).alias("name"))
+    return labelled(spark, folder).select("ordinal", decode_label(encode_label(F.col("source"))).alias("name"))
 
 
 @query
 def run_normalize_key(spark, folder):
-    return molecules(spark, folder).select("ordinal", key_digest(F.col("smiles")).alias("key"))
+    return compiled(spark, folder, "ordinal", key_digest(F.col("smiles")).alias("key"))
 
 
 @query
@@ -250,7 +277,7 @@ def class_weights(spark, folder):
 
 @query
 def domain_counts(spark, folder):
-    return split.domain_counts(molecules(spark, folder), "source", ("PKS", "bio", "chem", "other"))
+    return split.domain_counts(labelled(spark, folder), "source", ("PKS", "bio", "chem", "other"))
 
 
 @query
@@ -323,8 +350,8 @@ def split_ratio_check(spark, folder):
 
 @query
 def pipeline_counts(spark, folder):
-    rows = molecules(spark, folder).select("text", "source", key_digest(F.col("smiles")).alias("key"))
-    return quality.pipeline_counts(rows, "text", "key", "source")
+    key = key_digest(normalize_key(F.col("text"))).alias("key")
+    return quality.pipeline_counts(labelled(spark, folder).select("text", "source", key), "text", "key", "source")
 
 
 # positions, batches and samples
@@ -364,7 +391,7 @@ def sample_exact(spark, folder):
 
 @query
 def weighted_resample(spark, folder):
-    rows = molecules(spark, folder).select("ordinal", encode_label(F.col("source")).alias("label"))
+    rows = labelled(spark, folder).select("ordinal", encode_label(F.col("source")).alias("label"))
     return tidy(sampling.weighted_resample(rows, "ordinal"))
 
 
@@ -475,11 +502,12 @@ def knn_lsh(spark, folder):
 
 @query
 def overlap_nn(spark, folder):
-    rows = molecules(spark, folder).join(assigned(spark, folder).select("ordinal", "split"), "ordinal").select(
+    rows = molecules(spark, folder)
+    marked = assigned_rows(rows.select("ordinal", "key", "source")).select("ordinal", "split")
+    rows = rows.join(marked, "ordinal").select(
         "ordinal", "split", encode_label(F.col("source")).alias("label"), tokens(F.col("smiles")).alias("tokens"),
-        key_digest(F.col("smiles")).alias("smiles"),
+        F.col("key").alias("smiles"),
     )
-    rows = written(rows, "tokens")
     test, train = (rows.filter(F.col("split") == s) for s in ("test", "train"))
     return tidy(overlap.overlap_nn(test, train))
 
@@ -628,9 +656,9 @@ def supcon_epoch_mean(spark, folder):
 # models
 
 
-def bit_weights(spark: SparkSession, folder: str) -> DataFrame:
+def bit_weights(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """A weight per bit from the share of positives among its rows, and a fixed intercept."""
-    bits = prints(spark, folder).select(F.explode("on_bits").alias("feature"), "label")
+    bits = rows.select(F.explode("on_bits").alias("feature"), "label")
     weights = bits.groupBy("feature").agg((F.avg("label") - F.lit(0.05)).alias("weight"))
     bias = spark.range(1).select(F.lit(-1).alias("feature"), F.lit(-0.5).alias("weight"))
     return weights.unionByName(bias)
@@ -638,7 +666,8 @@ def bit_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_from_weights(spark, folder):
-    scored = models.score_from_weights(prints(spark, folder).drop("text"), bit_weights(spark, folder))
+    rows = stored_prints(spark, folder)
+    scored = models.score_from_weights(rows, bit_weights(spark, rows))
     return tidy(scored.select("ordinal", "score"))
 
 
