@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from moltabula.constants import N_BITS, RADIUS
 from moltabula.functions.bits import hash_bit, token_fingerprint
 from moltabula.functions.text import tokens
+from moltabula.scratch import written
 
 
 def hash_fingerprint(df: DataFrame, text: str, n_bits: int = N_BITS) -> DataFrame:
@@ -38,16 +39,16 @@ def graph_fingerprint(vertices: DataFrame, edges: DataFrame, graph: str = "graph
     vertex is never gathered in one place. Edges are given in both directions.
     """
     def piece(start: int):
-        pair = F.md5(F.concat_ws("|", F.col(bond).cast("string"), F.col("_hash")))
-        return F.conv(F.substring(pair, start, 8), 16, 10).cast("bigint")
+        return F.conv(F.substring("_pair", start, 8), 16, 10).cast("bigint")
 
+    directed = edges.select(graph, F.col(source).alias("_from"), F.col(target).alias(vertex), bond)
     state = vertices.select(graph, vertex, F.md5(F.col(label).cast("string")).alias("_hash"))
     rounds = [state]
     for _ in range(radius):
-        neighbour = state.select(graph, F.col(vertex).alias(target), "_hash")
+        pair = F.md5(F.concat_ws("|", F.col(bond).cast("string"), F.col("_hash")))
         sums = (
-            edges.select(graph, F.col(source).alias(vertex), target, bond)
-            .join(neighbour, [graph, target])
+            directed.join(state, [graph, vertex])
+            .select(graph, F.col("_from").alias(vertex), pair.alias("_pair"))
             .groupBy(graph, vertex)
             .agg(F.sum(piece(1)).alias("_low"), F.sum(piece(9)).alias("_high"))
         )
@@ -55,6 +56,8 @@ def graph_fingerprint(vertices: DataFrame, edges: DataFrame, graph: str = "graph
             "|", "_hash", F.coalesce("_low", F.lit(0)).cast("string"), F.coalesce("_high", F.lit(0)).cast("string")
         ))
         state = state.join(sums, [graph, vertex], "left").select(graph, vertex, rehashed.alias("_hash"))
+        # three later steps read a round, so it is stored rather than derived three times
+        state = written(state, "round")
         rounds.append(state)
     hashes = rounds[0]
     for later in rounds[1:]:

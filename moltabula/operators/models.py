@@ -26,7 +26,7 @@ from moltabula.scratch import written
 
 
 def train_linear(df: DataFrame, features: str = "features", label: str = "label", c: float = 1.0,
-                 max_iter: int = 2000, tol: float = 1e-8) -> LogisticRegressionModel:
+                 max_iter: int = 2000, tol: float = 1e-6) -> LogisticRegressionModel:
     """L2 logistic regression with balanced class weights and a free intercept.
 
     The loss is C sum w l + |b|^2 / 2. Spark averages the loss over the weights, and balanced weights
@@ -90,7 +90,7 @@ def _chunk_gradient(on_bits: str, label: str, weight: str, coefficients_: np.nda
 
 
 def train_incremental(df: DataFrame, key: str, on_bits: str = "on_bits", label: str = "label", n_bits: int = N_BITS,
-                      chunks: int = 16, alpha: float = 1e-4, rate: float = 1.0, seed: int = 42) -> DataFrame:
+                      chunks: int = 10, alpha: float = 1e-4, rate: float = 1.0, seed: int = 42) -> DataFrame:
     """One pass of log-loss gradient steps over hashed chunks; ``(feature, weight)`` with intercept -1.
 
     Every task sums the gradient of its rows, the sums meet per feature on the cluster, and the

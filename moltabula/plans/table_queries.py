@@ -458,7 +458,7 @@ def order_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     ).distinct()
     there = labelled.select("graph", F.col("p").alias("src"), F.col("s").alias("dst"), "bond")
     back = labelled.select("graph", F.col("s").alias("src"), F.col("p").alias("dst"), "bond")
-    return vertices, there.unionByName(back)
+    return written(vertices, "vertices"), written(there.unionByName(back), "edges")
 
 
 @query
@@ -711,7 +711,7 @@ def train_mlp(spark, folder):
     rows = probe_rows(spark, folder).withColumn("features", array_to_vector(as_doubles(F.col("embedding"))))
     parts = rows.join(split.stratified_split(rows.select("vec_id", "label"), "vec_id").drop("label"), "vec_id")
     train = sampling.weighted_resample(parts.filter(F.col("split") == "train"), "vec_id")
-    _, history = models.train_mlp(train, parts.filter(F.col("split") == "val"), width=64)
+    _, history = models.train_mlp(train, parts.filter(F.col("split") == "val"), width=64, hidden=(128, 64))
     return tidy(history, 6)
 
 
