@@ -98,10 +98,9 @@ def train_incremental(df: DataFrame, key: str, on_bits: str = "on_bits", label:
     """
     weighted = with_balanced_weight(df.select(key, on_bits, label), label, "_weight")
     chunk = F.conv(F.substring(seeded_hash(F.col(key), seed), 1, 8), 16, 10).cast("bigint") % chunks
-    stored = written(
-        weighted.select(on_bits, label, "_weight", chunk.cast("int").alias("_chunk")).repartition("_chunk", F.rand(seed)),
-        "chunks", ["_chunk"],
-    )
+    slice_of_chunk = F.pmod(F.xxhash64(key), F.lit(64))
+    numbered = weighted.withColumn("_chunk", chunk.cast("int")).repartition("_chunk", slice_of_chunk).drop(key)
+    stored = written(numbered, "chunks", ["_chunk"])
     weights, bias = np.zeros(n_bits), 0.0
     for step in range(chunks):
         rows = stored.filter(F.col("_chunk") == step).select(on_bits, label, "_weight")

@@ -37,7 +37,6 @@ def enumerate_designs(starters: DataFrame, starter: str, modules: DataFrame, mod
     if valid is None and total > limit:
         raise ValueError(f"{total} designs exceed the limit of {limit}")
     catalog = names.agg(F.array_sort(F.collect_list("_m")).alias("c")).scalar()
-    # spread by starter before growing, since each row multiplies in place
     rows = starters.select(F.col(starter).alias("starter")).distinct().withColumn("_catalog", catalog)
     rows = rows.withColumn("modules", F.expr("cast(array() as array<string>)"))
     result = None
@@ -46,6 +45,10 @@ def enumerate_designs(starters: DataFrame, starter: str, modules: DataFrame, mod
         rows = rows.withColumn("modules", F.array_append("modules", F.col("_next").cast("string"))).drop("_next")
         if valid is not None:
             rows = rows.filter(valid(F.col("starter"), F.col("modules")))
+        if length == 1 and total > n_starters * n_modules:
+            # rows multiply in place from here on, so spread the prefixes by the size of the result
+            tasks = max(starters.sparkSession.sparkContext.defaultParallelism, min(total // 1_000_000, 20_000))
+            rows = rows.repartition(int(tasks), "starter", "modules")
         if length in lengths:
             done = rows.select("starter", "modules", F.lit(length).alias("length"))
             result = done if result is None else result.unionByName(done)
