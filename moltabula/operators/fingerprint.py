@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moltabula.constants import N_BITS, RADIUS
-from moltabula.functions.bits import hash_bit, token_fingerprint
+from moltabula.functions.bits import token_fingerprint
 from moltabula.functions.text import tokens
 from moltabula.scratch import written
 
@@ -28,6 +28,11 @@ def bit_vectors(df: DataFrame, on_bits: str = "on_bits", out: str = "features",
     return model.transform(terms).drop("_terms")
 
 
+def _number(text: Column, start: int, digits: int) -> Column:
+    """Some hex digits of the md5 of a text, as a number."""
+    return F.conv(F.substring(F.md5(text), start, digits), 16, 10).cast("bigint")
+
+
 def graph_fingerprint(vertices: DataFrame, edges: DataFrame, graph: str = "graph", vertex: str = "vertex",
                       label: str = "label", source: str = "src", target: str = "dst", bond: str = "bond",
                       radius: int = RADIUS, n_bits: int = N_BITS) -> DataFrame:
@@ -36,33 +41,36 @@ def graph_fingerprint(vertices: DataFrame, edges: DataFrame, graph: str = "graph
     Every vertex starts with the hash of its label and is rehashed ``radius`` times with the
     multiset of its (edge label, neighbour hash) pairs; the hashes of all rounds, folded, are the
     bits. The multiset enters as two sums of 32-bit pieces, so neighbours combine map-side and a hub
-    vertex is never gathered in one place. Edges are given in both directions.
+    vertex is never gathered in one place. A hash is kept as two numbers of 60 bits, so that the
+    aggregate is a plain hash aggregate. Edges are given in both directions.
     """
-    def piece(start: int):
-        return F.conv(F.substring("_pair", start, 8), 16, 10).cast("bigint")
+    def hashed(text: Column) -> list[Column]:
+        return [_number(text, 1, 15).alias("_a"), _number(text, 17, 15).alias("_b")]
 
+    none = F.lit(None).cast("bigint")
     directed = edges.select(graph, F.col(source).alias("_from"), F.col(target).alias(vertex), bond)
-    state = vertices.select(graph, vertex, F.md5(F.col(label).cast("string")).alias("_hash"))
+    state = vertices.select(graph, vertex, *hashed(F.col(label).cast("string")))
     rounds = [state]
     for _ in range(radius):
-        pair = F.md5(F.concat_ws("|", F.col(bond).cast("string"), F.col("_hash")))
-        sums = (
-            directed.join(state, [graph, vertex])
-            .select(graph, F.col("_from").alias(vertex), pair.alias("_pair"))
-            .groupBy(graph, vertex)
-            .agg(F.sum(piece(1)).alias("_low"), F.sum(piece(9)).alias("_high"))
+        # what the neighbours contribute and the vertex itself meet in one aggregate
+        pair = F.concat_ws("|", *[F.col(c).cast("string") for c in (bond, "_a", "_b")])
+        given = directed.join(state, [graph, vertex]).select(
+            graph, F.col("_from").alias(vertex), none.alias("_a"), none.alias("_b"),
+            _number(pair, 1, 8).alias("_low"), _number(pair, 9, 8).alias("_high"),
         )
-        rehashed = F.md5(F.concat_ws(
-            "|", "_hash", F.coalesce("_low", F.lit(0)).cast("string"), F.coalesce("_high", F.lit(0)).cast("string")
-        ))
-        state = state.join(sums, [graph, vertex], "left").select(graph, vertex, rehashed.alias("_hash"))
+        itself = state.withColumns({"_low": none, "_high": none})
+        met = given.unionByName(itself).groupBy(graph, vertex).agg(
+            F.max("_a").alias("_a"), F.max("_b").alias("_b"),
+            F.coalesce(F.sum("_low"), F.lit(0)).alias("_low"), F.coalesce(F.sum("_high"), F.lit(0)).alias("_high"),
+        ).filter(F.col("_a").isNotNull())
+        rehashed = F.concat_ws("|", *[F.col(c).cast("string") for c in ("_a", "_b", "_low", "_high")])
         # three later steps read a round, so it is stored rather than derived three times
-        state = written(state, "round")
+        state = written(met.select(graph, vertex, *hashed(rehashed)), "round")
         rounds.append(state)
     hashes = rounds[0]
     for later in rounds[1:]:
         hashes = hashes.unionByName(later)
-    return hashes.select(graph, hash_bit(F.col("_hash"), n_bits).alias("bit")).distinct()
+    return hashes.select(graph, (F.col("_a") % n_bits).cast("int").alias("bit")).distinct()
 
 
 def graph_bits(bits: DataFrame, graph: str = "graph") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moltabula.functions.vectors import safe_ratio
 from moltabula.operators.rank import bucket_offsets, range_bucket
+from moltabula.scratch import written
 
 
 def _confusion(label: Column, predicted: Column, weight: Column | None = None) -> list[Column]:
@@ -49,7 +50,9 @@ def cumulative_groups(groups: DataFrame, levels: int = 10) -> DataFrame:
     The prefix sums run inside score buckets; the sums of the earlier buckets come from a table of
     ``2**levels`` rows, so no task sees all scores.
     """
-    bucketed = range_bucket(groups, "score", levels=levels)
+    # cut points, bucket sums and the sums inside buckets all read the groups, so the scores behind
+    # them are computed once
+    bucketed = range_bucket(written(groups, "scores"), "score", levels=levels)
     sizes = bucketed.groupBy("_bucket").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     offsets = bucket_offsets(sizes, [], "_bucket", {"pos": "_p", "neg": "_n"})
     below = Window.partitionBy("_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,11 +112,21 @@ def eval_report(df: DataFrame, label: str = "label", score: str = "score", thres
 
 def neighbour_report(df: DataFrame, label: str = "label", predicted: str = "pred_label",
                      score: str | None = None) -> DataFrame:
-    """Metrics of a nearest-neighbour result; by default the hard prediction is also the score."""
-    ranking = ranking_metrics(df, label, score or predicted)
+    """Metrics of a nearest-neighbour result; by default the hard prediction is also the score.
+
+    A hard prediction has two thresholds, so its ranking metrics follow from the confusion counts and
+    the predictions are evaluated once.
+    """
     counts = confusion_report(df, label, predicted)
-    auc = ranking.select("roc_auc").scalar()
-    ap = ranking.select("average_precision").scalar()
+    tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
+    pos, neg = tp + fn, tn + fp
+    if score is None:
+        auc = F.when((pos > 0) & (neg > 0), (F.try_divide(tp, pos) + F.try_divide(tn, neg)) / 2)
+        hit = safe_ratio(tp, pos)
+        ap = F.when(pos > 0, hit * safe_ratio(tp, tp + fp) + (1 - hit) * pos / (pos + neg)).when(neg > 0, 0.0)
+    else:
+        ranking = written(ranking_metrics(df, label, score), "ranking")
+        auc, ap = (ranking.select(c).scalar() for c in ("roc_auc", "average_precision"))
     return counts.select(
         F.col("accuracy").alias("acc"),
         auc.alias("auroc"),

@@ -447,8 +447,8 @@ def order_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     """Each order as a graph of its parts and suppliers, one edge per line."""
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("graph"), "l_partkey",
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("p"),
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("s"),
+        (F.col("l_partkey") * 2).alias("p"),
+        (F.col("l_suppkey") * 2 + 1).alias("s"),
         F.col("l_returnflag").alias("bond"),
     )
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")

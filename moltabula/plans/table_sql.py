@@ -14,8 +14,8 @@ def _bit(value: str, n_bits: int = 2048) -> str:
     return f"(('0x' || substr(md5({value}), 1, 8))::BIGINT % {n_bits})"
 
 
-def _piece(value: str, start: int) -> str:
-    return f"('0x' || substr(md5({value}), {start}, 8))::BIGINT"
+def _piece(value: str, start: int, digits: int = 8) -> str:
+    return f"('0x' || substr(md5({value}), {start}, {digits}))::BIGINT"
 
 
 def _uniform(value: str) -> str:
@@ -146,24 +146,29 @@ FROM (
     return " UNION ALL ".join(parts)
 
 
+def _round(i: int) -> str:
+    pair = "bond || '|' || a || '|' || b"
+    own = "h.a || '|' || h.b || '|' || coalesce(lo, 0) || '|' || coalesce(hi, 0)"
+    return f"""s{i} AS (
+  SELECT e.g, e.src AS v, sum({_piece(pair, 1)})::BIGINT AS lo, sum({_piece(pair, 9)})::BIGINT AS hi
+  FROM edg e JOIN h{i - 1} h ON e.g = h.g AND e.dst = h.v GROUP BY 1, 2
+),
+h{i} AS (
+  SELECT h.g, h.v, {_piece(own, 1, 15)} AS a, {_piece(own, 17, 15)} AS b
+  FROM h{i - 1} h LEFT JOIN s{i} s ON h.g = s.g AND h.v = s.v
+)"""
+
+
 GRAPH = f"""
-lab AS (SELECT l_orderkey AS g, 'P' || l_partkey AS p, 'S' || l_suppkey AS s, l_returnflag AS bond, p_type
+lab AS (SELECT l_orderkey AS g, l_partkey * 2 AS p, l_suppkey * 2 + 1 AS s, l_returnflag AS bond, p_type
         FROM lineitem JOIN part ON l_partkey = p_partkey),
 vtx AS (SELECT g, p AS v, p_type AS label FROM lab UNION SELECT g, s, 'supplier' FROM lab),
 edg AS (SELECT g, p AS src, s AS dst, bond FROM lab UNION ALL SELECT g, s, p, bond FROM lab),
-h0 AS (SELECT g, v, md5(label) AS h FROM vtx),
-s1 AS (SELECT e.g, e.src AS v, sum({_piece("bond || '|' || h", 1)})::BIGINT AS lo,
-              sum({_piece("bond || '|' || h", 9)})::BIGINT AS hi
-       FROM edg e JOIN h0 ON e.g = h0.g AND e.dst = h0.v GROUP BY 1, 2),
-h1 AS (SELECT h0.g, h0.v, md5(h0.h || '|' || coalesce(lo, 0) || '|' || coalesce(hi, 0)) AS h
-       FROM h0 LEFT JOIN s1 ON h0.g = s1.g AND h0.v = s1.v),
-s2 AS (SELECT e.g, e.src AS v, sum({_piece("bond || '|' || h", 1)})::BIGINT AS lo,
-              sum({_piece("bond || '|' || h", 9)})::BIGINT AS hi
-       FROM edg e JOIN h1 ON e.g = h1.g AND e.dst = h1.v GROUP BY 1, 2),
-h2 AS (SELECT h1.g, h1.v, md5(h1.h || '|' || coalesce(lo, 0) || '|' || coalesce(hi, 0)) AS h
-       FROM h1 LEFT JOIN s2 ON h1.g = s2.g AND h1.v = s2.v),
-gb AS (SELECT DISTINCT g AS graph, {_bit('h')} AS bit FROM (
-  SELECT g, h FROM h0 UNION ALL SELECT g, h FROM h1 UNION ALL SELECT g, h FROM h2))"""
+h0 AS (SELECT g, v, {_piece('label', 1, 15)} AS a, {_piece('label', 17, 15)} AS b FROM vtx),
+{_round(1)},
+{_round(2)},
+gb AS (SELECT DISTINCT g AS graph, a % 2048 AS bit FROM (
+  SELECT g, a FROM h0 UNION ALL SELECT g, a FROM h1 UNION ALL SELECT g, a FROM h2))"""
 
 DOT = "list_dot_product(a.e, b.e)"
 

@@ -150,3 +150,13 @@ def test_mlp_probe_and_persistence(spark, tmp_path):
     row = meta.first()
     assert row["class_counts"] == {"PKS": 30, "non-PKS": 90} and row["train_rows"] == 120
     assert row["label_mapping"] == {"PKS": 1, "non-PKS": 0} and row["feature_columns"] == ["fp_0", "fp_1"]
+
+
+@pytest.mark.parametrize("pairs", [
+    [(1, 1), (1, 0), (0, 0), (0, 1), (0, 0)], [(1, 0), (0, 0)], [(1, 1), (0, 1)], [(0, 1), (0, 0)], [(1, 1)],
+])
+def test_hard_predictions_rank_like_any_score(spark, pairs):
+    df = spark.createDataFrame(pairs, "label int, pred_label int")
+    short, full = metrics.neighbour_report(df).first(), metrics.neighbour_report(df, score="pred_label").first()
+    for name in ("auroc", "auprc"):
+        assert short[name] == full[name] or abs(short[name] - full[name]) < 1e-12
