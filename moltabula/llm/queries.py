@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moltabula.llm import bpe, exact, pii, urls
+from moltabula.llm import bpe, exact, packing, pii, tokenfiles, urls
 from moltabula.llm.common import table
 
 URL_RULES = [
@@ -27,8 +27,16 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfiles.token_file_round_trip(spark, table(spark, folder, "documents"), bpe.default_path("word_bpe_49k.json"), 2)
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), bpe.default_path("word_bpe_49k.json"), 1, 2048)
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_pii, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_pii, op6_token_files, op7_packing, op10_url_filter)}
