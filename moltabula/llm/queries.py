@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from moltabula.llm import bpe, exact, packing, pii, tokenfiles, urls
+from moltabula.llm import bpe, exact, langid, packing, pii, tokenfiles, topk, urls
 from moltabula.llm.common import table
 
 URL_RULES = [
@@ -15,6 +16,13 @@ URL_RULES = [
 ]
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), bpe.default_path("byte_bpe_50k.json"))
 
@@ -27,6 +35,11 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, folder, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.token_file_round_trip(spark, table(spark, folder, "documents"), bpe.default_path("word_bpe_49k.json"), 2)
 
@@ -39,4 +52,4 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_pii, op6_token_files, op7_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_exact_dedup, op4_pii, op5_top_k, op6_token_files, op7_packing, op10_url_filter)}

@@ -9,6 +9,17 @@ SQL = {
             doc_id is not distinct from min(doc_id) over w as kept, sha256(norm) as text_sha256
         from t window w as (partition by norm)
     """,
+    "op5_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+            where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+            from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+        )
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+        from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+    """,
     "op10_url_filter": r"""
         with p as (
             select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
