@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltabula.llm import bpe, exact, langid, minhash, packing, pii, tokenfiles, topk, urls
+from moltabula.llm import bpe, exact, langid, minhash, packing, pii, substrings, tokenfiles, topk, urls
 from moltabula.llm.common import table
 
 URL_RULES = [
@@ -52,8 +52,12 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, folder, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_exact_dedup, op4_pii, op5_top_k, op6_token_files, op7_packing, op8_minhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_exact_dedup, op4_pii, op5_top_k, op6_token_files, op7_packing, op8_minhash, op9_repeated_strings, op10_url_filter)}
