@@ -129,3 +129,10 @@ def groups_from(rows: DataFrame, unlike: DataFrame) -> DataFrame:
     heads = marked.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return marked.join(heads, keys).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``exact_groups`` marks as copies; all columns and other rows pass through."""
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    own = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (own == F.col("_sha")), "left_semi")

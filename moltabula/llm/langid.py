@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ GRAMS = (2, 3, 4)
 SWITCH_PENALTY = 12.0  # log-likelihood that a change of language must gain
 SMOOTHING = 0.5
 SCRIPT_SHARE = 0.01  # a language uses a script that at least so much of its sample's words are in
+MIN_SCORE = 0.4  # least share of letters in the predicted language for a document to stay in a filter
 REMEMBERED = 300_000  # words remembered in a task
 
 # First code points of script ranges (fixed values of Unicode), each up to the next; number of the script.
@@ -198,6 +200,32 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return arrow_map(id_and_text(docs, id_col, text_col), parts, schema, lambda: _Words(shared.value))
 
 
+def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose text has no language: ``und``, or a score below ``min_score``.
+
+    A row without ``lang`` gets the predicted one. All other columns pass through. A model of no languages rejects nothing.
+    """
+    if not model.languages:
+        return docs
+    names = docs.columns
+    text, lang = names.index(text_col), names.index(lang_col) if lang_col in names else None
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def parts(batch: pa.RecordBatch, state: _Words) -> pa.Table:
+        out = []
+        for part in slices(batch, text):
+            filled = pa.RecordBatch.from_arrays([part.column(text), part.column(text).fill_null("")], ["id", "text"])
+            found = _identify(filled, state)
+            columns = list(part.columns)
+            if lang is not None:
+                columns[lang] = pc.coalesce(columns[lang], found.column(1).cast(columns[lang].type))
+            good = pc.and_(pc.not_equal(found.column(1), "und"), pc.greater_equal(found.column(2), min_score))
+            out.append(pa.RecordBatch.from_arrays(columns, names=names).filter(good))
+        return pa.Table.from_batches(out)
+
+    return arrow_map(docs.select([F.col(f"`{c}`") for c in names]), parts, docs.schema, lambda: _Words(shared.value))
+
+
 class _Words:
     """Scores of the words met so far in a task."""
 

@@ -213,3 +213,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return full.mapInArrow(run, "a long, b long").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component; all columns and rows without id pass through."""
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
