@@ -176,14 +176,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = left.join(right, "band").where("a_component < b_component").where(may_be_similar("a_", "b_"))
     across = across.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
     across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = written(confirmed(across, texts), "confirmed")
-        if not more.isEmpty():
-            # components known so far stand for the links that made them
-            found = components(more.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-    by_head = heads.select(*keys, F.col("doc_id").alias("head")).join(found.withColumnRenamed("node", "head"), "head", "left")
-    by_head = by_head.select(*keys, F.coalesce("component", "head").alias("component_id"))
-    own = rows.select("doc_id", *keys).join(by_head, keys, "left")
+    more = [confirmed(across, texts)]
+    own = written(rows.select("doc_id", *keys).join(heads.select(*keys, F.col("doc_id").alias("head")), keys, "left"), "own")
+    # an id with several texts is one node, so it links their classes
+    several = own.where("head is not null").groupBy("doc_id").agg(F.min("head").alias("a"), F.max("head").alias("z")).where("a < z")
+    more.append(own.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("head").alias("b")).where("a < b"))
+    later = written(more[0].unionByName(more[1]), "later")
+    if not later.isEmpty():
+        # components known so far stand for the links that made them
+        found = components(later.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    own = own.join(found.withColumnRenamed("node", "head"), "head", "left").withColumn("component_id", F.coalesce("component", "head"))
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
