@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from moltabula.constants import FORBIDDEN_CHARACTERS
+from moltabula.functions.vectors import bind
 
 MARKS = "[" + re.escape("".join(FORBIDDEN_CHARACTERS)) + "]"
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -47,5 +48,17 @@ def clean_lines(col: Column) -> Column:
 
 
 def tokens(col: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits; null input gives null."""
-    return F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda token: token != "")
+    """Lower-case runs of letters and digits of any script; null input gives null."""
+    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda token: token != "")
+
+
+def char_grams(col: Column, n: int) -> Column:
+    """All runs of ``n`` characters, case and signs kept; a shorter text gives itself, an empty one nothing.
+
+    Keys that differ only in case or in a bond sign have different runs, which words would not show.
+    """
+    def runs(letters: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(letters) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(letters, i, n), ""))
+
+    return F.filter(bind(F.split(col, ""), runs), lambda gram: gram != "")

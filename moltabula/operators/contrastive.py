@@ -9,26 +9,32 @@ from pyspark.sql import functions as F
 
 from moltabula.operators.sampling import epoch_batches, fixed_batches
 
-MAX_BATCH = 8192
+ANCHOR_ROWS = 1024  # anchors that meet the batch at once
 
 
 def _loss(vectors: np.ndarray, labels: np.ndarray, temperature: float) -> tuple[float | None, int]:
-    """Mean over anchors with a positive of the mean -log softmax of their positives, self left out."""
-    logits = vectors @ vectors.T / temperature
-    np.fill_diagonal(logits, -np.inf)
-    if len(labels) < 2:
+    """Mean over anchors with a positive of the mean -log softmax of their positives, self left out.
+
+    Anchors go in blocks, so memory grows with the batch and not with its square.
+    """
+    n = len(labels)
+    if n < 2:
         return None, 0
-    top = logits.max(axis=1, keepdims=True)
-    log_sum = top[:, 0] + np.log(np.exp(logits - top).sum(axis=1))
-    same = labels[:, None] == labels[None, :]
-    np.fill_diagonal(same, False)
-    positives = same.sum(axis=1)
-    anchors = positives > 0
-    if not anchors.any():
-        return 0.0, 0
-    total = np.where(same, logits, 0.0).sum(axis=1)
-    per_anchor = total[anchors] / positives[anchors] - log_sum[anchors]
-    return float(-per_anchor.mean()), int(anchors.sum())
+    parts = []
+    for first in range(0, n, ANCHOR_ROWS):
+        rows = np.arange(first, min(first + ANCHOR_ROWS, n))
+        logits = vectors[rows] @ vectors.T / temperature
+        logits[np.arange(len(rows)), rows] = -np.inf
+        top = logits.max(axis=1, keepdims=True)
+        log_sum = top[:, 0] + np.log(np.exp(logits - top).sum(axis=1))
+        same = labels[rows, None] == labels[None, :]
+        same[np.arange(len(rows)), rows] = False
+        positives = same.sum(axis=1)
+        anchors = positives > 0
+        total = np.where(same, logits, 0.0).sum(axis=1)
+        parts.append(total[anchors] / positives[anchors] - log_sum[anchors])
+    per_anchor = np.concatenate(parts)
+    return (float(-per_anchor.mean()), len(per_anchor)) if len(per_anchor) else (0.0, 0)
 
 
 def supcon_loss(df: DataFrame, vector: str, label: str, order: str, batch_size: int, temperature: float = 0.1,
@@ -36,10 +42,10 @@ def supcon_loss(df: DataFrame, vector: str, label: str, order: str, batch_size:
     """``(batch, n, n_anchors, loss)``.
 
     The operator makes the batches itself, by ordinal or by a shuffled epoch, so a batch never
-    exceeds ``batch_size`` rows, and its pairs live only as a matrix inside one task.
+    exceeds ``batch_size`` rows, and its pairs live only as blocks of a matrix inside one task.
     """
-    if not 1 <= batch_size <= MAX_BATCH:
-        raise ValueError(f"batch size must be between 1 and {MAX_BATCH}")
+    if batch_size < 1:
+        raise ValueError("batch size must be at least 1")
     rows = df.select(
         F.col(order), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("bigint").alias("y")
     )

@@ -15,14 +15,16 @@ def compile_dedup(df: DataFrame, key: str = "smiles", source: str = "source",
     """Positive rows with all their copies, and one row per key of the others.
 
     The first name in ``priority`` is the positive source. Of the others a key keeps its earliest
-    source in that order, which is what keep-first gives after a concat in the same order. Copies
-    meet in a partial aggregate, so a hot key costs one row per task.
+    source in that order, which is what keep-first gives after a concat in the same order. Sources that
+    are not listed come after those that are, by name, and null last. Copies meet in a partial
+    aggregate, so a hot key costs one row per task.
     """
     positive, *others = priority
-    order = F.array_position(F.array(*[F.lit(name) for name in others]), F.col(source))
+    listed = F.array_position(F.array(*[F.lit(name) for name in others]), F.col(source))
+    order = F.when(F.col(source).isNull(), len(others) + 2).when(listed > 0, listed).otherwise(len(others) + 1)
     kept = df.filter(F.col(source) == positive).select(key, source)
     rest = (
-        df.filter(F.col(source).isin(*others))
+        df.filter(~F.col(source).eqNullSafe(F.lit(positive)))
         .groupBy(key)
         .agg(F.min(F.struct(order.alias("order"), F.col(source).alias("source"))).alias("_first"))
         .select(key, F.col("_first.source").alias(source))

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 
 from moltabula.constants import N_BITS, RADIUS
 from moltabula.functions.bits import token_fingerprint
-from moltabula.functions.text import tokens
+from moltabula.functions.text import char_grams, tokens
 from moltabula.scratch import written
 
 
-def hash_fingerprint(df: DataFrame, text: str, n_bits: int = N_BITS) -> DataFrame:
-    """``on_bits`` and ``n_on`` from the token set of a text; rows without a text are dropped."""
+def hash_fingerprint(df: DataFrame, text: str, n_bits: int = N_BITS, grams: int | None = None) -> DataFrame:
+    """``on_bits`` and ``n_on`` from the word set of a text, or with ``grams`` from its runs of so many characters.
+
+    Words suit prose. Structured keys need ``grams``, which keep case, order and signs. Rows without a text are dropped.
+    """
     valid = df.filter(F.col(text).isNotNull())
-    with_bits = valid.withColumn("on_bits", token_fingerprint(tokens(F.col(text)), n_bits))
+    parts = tokens(F.col(text)) if grams is None else char_grams(F.col(text), grams)
+    with_bits = valid.withColumn("on_bits", token_fingerprint(parts, n_bits))
     return with_bits.withColumn("n_on", F.size("on_bits"))
 
 

@@ -37,8 +37,11 @@ def confusion_report(df: DataFrame, label: str = "label", predicted: str = "pred
 
 
 def score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score; ties collapse before the shuffle."""
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(
+    """Positives and negatives per distinct score; ties collapse before the shuffle.
+
+    Rows without a score are in no count, here and so in all reports.
+    """
+    return df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) == 0).alias("neg"),
     )

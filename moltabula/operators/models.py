@@ -22,7 +22,7 @@ from moltabula.functions.vectors import as_doubles, sigmoid
 from moltabula.operators.metrics import ranking_metrics
 from moltabula.operators.rank import seeded_hash
 from moltabula.operators.split import class_weights, with_balanced_weight
-from moltabula.scratch import written
+from moltabula.scratch import scratch_path, written
 
 
 def train_linear(df: DataFrame, features: str = "features", label: str = "label", c: float = 1.0,
@@ -30,15 +30,18 @@ def train_linear(df: DataFrame, features: str = "features", label: str = "label"
     """L2 logistic regression with balanced class weights and a free intercept.
 
     The loss is C sum w l + |b|^2 / 2. Spark averages the loss over the weights, and balanced weights
-    sum to n, so its penalty is 1 / (C n).
+    sum to n, so its penalty is 1 / (C n). The model comes without its training summary, which would hold
+    on to the session and could then not be sent to the executors.
     """
-    weighted = with_balanced_weight(df.select(features, label), label)
-    n = df.count()
+    weighted = written(with_balanced_weight(df.select(features, label), label), "training")
+    n = weighted.count()
     estimator = LogisticRegression(
         featuresCol=features, labelCol=label, weightCol="weight", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0,
         standardization=False, maxIter=max_iter, tol=tol,
     )
-    return estimator.fit(weighted)
+    path = scratch_path(df.sparkSession, "linear")
+    estimator.fit(weighted).write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def coefficients(model: LogisticRegressionModel, spark: SparkSession) -> DataFrame:
@@ -164,8 +167,8 @@ def project_2d(df: DataFrame, vector: str = "features", label: str = "label",
     placed = model.transform(df).withColumn("_xy", vector_to_array("_pc"))
     return placed.select(
         *columns,
-        F.col("_xy")[0].alias("umap_1"),
-        F.col("_xy")[1].alias("umap_2"),
+        F.col("_xy")[0].alias("component_1"),
+        F.col("_xy")[1].alias("component_2"),
         decode_label(F.col(label)).alias("is_pks"),
     )
 

@@ -71,18 +71,27 @@ def _number(df: DataFrame, bucket: str, order: list[str], groups: list[str], out
     )
 
 
+def _levels(df: DataFrame) -> int:
+    """Binary digits of the number of buckets: at least four for each shuffle partition, and 1,024."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(10, (4 * partitions - 1).bit_length())
+
+
 def rank_by_hash(df: DataFrame, key: str, groups: list[str] | None = None, seed: int | str = SEED,
-                 out: str = "rank", total: str = "n", prefix: int = 3) -> DataFrame:
+                 out: str = "rank", total: str = "n", prefix: int | None = None) -> DataFrame:
     """1-based position by seeded hash of a unique key within groups, and the group size.
 
-    ``prefix`` hex digits make ``16**prefix`` buckets per group; raise it with the data.
+    ``prefix`` hex digits make ``16**prefix`` buckets per group. By default they follow the number of shuffle
+    partitions, which is set with the data.
     """
+    prefix = prefix or (_levels(df) + 3) // 4
     hashed = df.withColumn("_hash", seeded_hash(F.col(key), seed))
     bucketed = hashed.withColumn("_bucket", F.substring("_hash", 1, prefix))
     return _number(bucketed, "_bucket", ["_hash", key], groups or [], out, total).drop("_hash")
 
 
 def rank_by_value(df: DataFrame, column: str, groups: list[str] | None = None, out: str = "rank",
-                  total: str = "n", levels: int = 10) -> DataFrame:
-    """1-based position by a unique number within groups, and the group size."""
+                  total: str = "n", levels: int | None = None) -> DataFrame:
+    """1-based position by a unique number within groups, and the group size; buckets as in ``rank_by_hash``."""
+    levels = levels or _levels(df)
     return _number(range_bucket(df, column, levels=levels), "_bucket", [column], groups or [], out, total)

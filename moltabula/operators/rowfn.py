@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[dict] | dict | None], schema: str | T.StructType,
@@ -32,9 +33,12 @@ def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[dict] | dict | None],
             return []
         return [made] if isinstance(made, dict) else list(made)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [new for row in batch.to_dict("records") for new in call(row)]
-            yield pd.DataFrame(made, columns=names)
+            # Python values, so that whole numbers next to nulls stay whole
+            made = [{name: new.get(name) for name in names} for row in batch.to_pylist() for new in call(row)]
+            yield pa.RecordBatch.from_pylist(made, schema=kinds)
 
-    return df.mapInPandas(run, out)
+    return df.mapInArrow(run, out)

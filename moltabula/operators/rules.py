@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moltabula.functions.vectors import bind
@@ -22,32 +22,30 @@ class Rule:
 
 def enumerate_designs(starters: DataFrame, starter: str, modules: DataFrame, module: str,
                       lengths: tuple[int, ...] = (1, 2, 3), valid: Callable[[Column, Column], Column] | None = None,
-                      limit: int = 10**12, catalog_limit: int = 100_000) -> DataFrame:
+                      limit: int | None = None) -> DataFrame:
     """``(starter, modules, length)``: every starter with every module sequence of the given lengths.
 
-    The module catalog is a short list, checked against ``catalog_limit``, and reaches the rows as one
-    array, so a step is an explode without join or shuffle. ``valid(starter, modules)`` is tested after
-    each step, so a bad prefix is not extended. More than ``limit`` designs are refused.
+    The module catalog is a short list of names and reaches the rows as one array, attached after each shuffle, so a step is an
+    explode. ``valid(starter, modules)`` is tested after each step, so a bad prefix is not extended. With a
+    ``limit`` more sequences than that, valid or not, are refused.
     """
     names = modules.select(F.col(module).alias("_m")).filter("_m is not null").distinct()
     n_modules, n_starters = names.count(), starters.select(starter).distinct().count()
-    if n_modules > catalog_limit:
-        raise ValueError(f"{n_modules} modules exceed the catalog limit of {catalog_limit}")
     total = sum(n_starters * n_modules**k for k in lengths)
-    if valid is None and total > limit:
+    if limit is not None and total > limit:
         raise ValueError(f"{total} designs exceed the limit of {limit}")
     catalog = names.agg(F.array_sort(F.collect_list("_m")).alias("c")).scalar()
-    rows = starters.select(F.col(starter).alias("starter")).distinct().withColumn("_catalog", catalog)
+    rows = starters.select(F.col(starter).alias("starter")).distinct()
     rows = rows.withColumn("modules", F.expr("cast(array() as array<string>)"))
     result = None
     for length in range(1, max(lengths) + 1):
-        rows = rows.withColumn("_next", F.explode("_catalog"))
+        rows = rows.withColumn("_next", F.explode(catalog))
         rows = rows.withColumn("modules", F.array_append("modules", F.col("_next").cast("string"))).drop("_next")
         if valid is not None:
             rows = rows.filter(valid(F.col("starter"), F.col("modules")))
         if length == 1 and total > n_starters * n_modules:
             # rows multiply in place from here on, so spread the prefixes by the size of the result
-            tasks = max(starters.sparkSession.sparkContext.defaultParallelism, min(total // 1_000_000, 20_000))
+            tasks = max(starters.sparkSession.sparkContext.defaultParallelism, min(total // 1_000_000, n_starters * n_modules))
             rows = rows.repartition(int(tasks), "starter", "modules")
         if length in lengths:
             done = rows.select("starter", "modules", F.lit(length).alias("length"))
@@ -55,47 +53,47 @@ def enumerate_designs(starters: DataFrame, starter: str, modules: DataFrame, mod
     return result
 
 
-def rewrite_sites(text: Column, rule: Rule) -> Column:
-    """One candidate per match of the rule: the text with only that match replaced; empty without a match."""
-    pieces = F.split(text, rule.pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+def rewrite_sites(text: Column, pattern: Column, replacement: Column) -> Column:
+    """One candidate per match of a pattern: the text with only that match replaced; empty without a match."""
+    pieces = F.split(text, pattern, -1)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
     woven = F.flatten(F.zip_with(pieces, hits, lambda piece, hit: F.array(piece, F.coalesce(hit, F.lit("")))))
 
     def candidate(parts: Column, site: Column) -> Column:
-        swapped = F.transform(
-            parts, lambda part, at: F.when(at == 2 * site + 1, F.lit(rule.replacement)).otherwise(part)
-        )
+        swapped = F.transform(parts, lambda part, at: F.when(at == 2 * site + 1, replacement).otherwise(part))
         return F.array_join(swapped, "")
 
     sites = F.filter(F.sequence(F.lit(0), F.size(hits)), lambda site: site < F.size(hits))
     return bind(woven, lambda parts: F.transform(sites, lambda site: candidate(parts, site)))
 
 
-def apply_rules(df: DataFrame, text: str, rules: list[Rule], chain: bool = False) -> DataFrame:
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """``rule_order, rule, pattern, replacement``: rules as data."""
+    rows = [(i, r.name, r.pattern, r.replacement) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule_order int, rule string, pattern string, replacement string")
+
+
+def apply_rules(df: DataFrame, text: str, rules: list[Rule] | DataFrame, chain: bool = False) -> DataFrame:
     """Every row with every rule: ``rule_order, rule, site, product``, one row per match site.
 
-    The rules are a short list, so they become an array in the row and no join is needed. With
-    ``chain`` a rule without a match stops the later rules of that row.
+    The rules, a list or a table as ``rule_table`` makes it, reach the rows as one array value, so there is no join and the plan has the same size
+    for any number of rules. With ``chain`` a rule without a match stops the later rules of that row.
     """
-    if not rules:
-        raise ValueError("no rules")
-    def tagged(order: int, rule: Rule, products: Column) -> Column:
-        return F.transform(products, lambda product, site: F.struct(
-            F.lit(order).alias("rule_order"), F.lit(rule.name).alias("rule"), site.alias("site"),
-            product.alias("product"),
-        ))
-
-    made = []
-    alive = F.lit(True)
-    for order, rule in enumerate(rules):
-        if chain:
-            alive = alive & F.regexp_like(F.col(text), F.lit(rule.pattern))
-        products = rewrite_sites(F.col(text), rule)
-        if chain:
-            products = F.when(alive, products).otherwise(F.expr("cast(array() as array<string>)"))
-        made.append(tagged(order, rule, products))
-    grown = df.withColumn("_made", F.explode(F.flatten(F.array(*made))))
-    return grown.select(*df.columns, "_made.*").filter(F.col("product").isNotNull())
+    if isinstance(rules, list):
+        if not rules:
+            raise ValueError("no rules")
+        rules = rule_table(df.sparkSession, rules)
+    packed = rules.agg(F.array_sort(F.collect_list(F.struct("rule_order", "rule", "pattern", "replacement"))).alias("r")).scalar()
+    rows = df.filter(F.col(text).isNotNull()).withColumn("_rules", packed)
+    if chain:
+        failed = F.filter("_rules", lambda r: ~F.regexp_like(F.col(text), r["pattern"]))
+        stop = F.array_min(F.transform(failed, lambda r: r["rule_order"]))
+        rows = rows.withColumn("_stop", stop)
+        rows = rows.withColumn("_rules", F.filter("_rules", lambda r: F.col("_stop").isNull() | (r["rule_order"] < F.col("_stop"))))
+    rows = rows.select(*df.columns, F.explode("_rules").alias("_rule"))
+    products = rewrite_sites(F.col(text), F.col("_rule.pattern"), F.col("_rule.replacement"))
+    grown = rows.select(*df.columns, "_rule.rule_order", "_rule.rule", F.posexplode(products).alias("site", "product"))
+    return grown.filter(F.col("product").isNotNull())
 
 
 def rule_counts(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:

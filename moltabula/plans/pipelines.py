@@ -17,6 +17,7 @@ from moltabula.operators.models import model_metadata, save_model, score_linear,
 from moltabula.operators.rules import Rule, apply_rules, expand_one_step
 from moltabula.operators.similarity import tanimoto_nn
 from moltabula.operators.split import assign_splits, can_stratify, label_any, stratified_split
+from moltabula.scratch import written
 from moltabula.sources.readers import read_lines, tagged_union
 from moltabula.sources.writers import write_record, write_table
 
@@ -60,14 +61,16 @@ def split_molecules(molecules: DataFrame, key: str = "smiles", warn: bool = Fals
 
 
 def write_splits(molecules: DataFrame, base: str, suffix: str = "", fmt: str = "parquet") -> None:
-    """One file set per split, in the usual layout."""
+    """One file set per split, in the usual layout; the rows are derived once and stored by split."""
+    stored = written(molecules, "splits", ["split"])
     for split in SPLITS:
         path = SPLIT_FILE.format(base=base.rstrip("/"), split=split, suffix=suffix, ext=fmt)
-        write_table(molecules.filter(F.col("split") == split).drop("split"), path, fmt)
+        write_table(stored.filter(F.col("split") == split).drop("split"), path, fmt)
 
 
-def fingerprint_molecules(molecules: DataFrame, text: str = "smiles") -> DataFrame:
-    return hash_fingerprint(molecules, text)
+def fingerprint_molecules(molecules: DataFrame, text: str = "smiles", grams: int = 3) -> DataFrame:
+    """Fingerprints of structured keys, from runs of characters."""
+    return hash_fingerprint(molecules, text, grams=grams)
 
 
 def write_fingerprints(molecules: DataFrame, base: str) -> None:

@@ -57,7 +57,7 @@ assigned AS (SELECT k.ordinal, k.key, k.source, c.split FROM keyed k JOIN cut c
 BITS = f"""
 bits AS (
   SELECT DISTINCT ordinal, {_bit('t')} AS bit FROM (
-    SELECT ordinal, unnest(regexp_split_to_array(lower(smiles), '[^a-z0-9]+')) AS t FROM mol WHERE smiles IS NOT NULL
+    SELECT ordinal, unnest(regexp_split_to_array(lower(smiles), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM mol WHERE smiles IS NOT NULL
   ) WHERE t <> ''
 ),
 sizes AS (
@@ -217,7 +217,7 @@ SQL: dict[str, str] = {
     "tagged_union": """SELECT doc_id AS id, text, 'documents' AS split FROM documents
         UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark
         UNION ALL SELECT conv_id, text, 'conversations' FROM conversations""",
-    "csv_roundtrip": """SELECT c_custkey, c_name, c_mktsegment, round(c_acctbal, 9) AS c_acctbal FROM customer""",
+    "csv_roundtrip": "SELECT doc_id, text, lang, n_chars FROM documents",
     "parquet_roundtrip": f"WITH {MOL} SELECT ordinal, source FROM mol",
     "shard_merge": "SELECT o_orderkey, round(o_totalprice, 9) AS o_totalprice FROM orders",
     "ordered_merge": """SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS place,
@@ -309,6 +309,8 @@ SQL: dict[str, str] = {
           + 1 AS r FROM pick)
         SELECT draw, ordinal, pos.label FROM place JOIN pos ON pos.label = place.label AND pos.r = place.r""",
     "hash_fingerprint": f"WITH {MOL}, {BITS} SELECT ordinal, bit FROM bits",
+    "gram_fingerprint": f"""SELECT DISTINCT p_partkey, {_bit('g')} AS bit FROM (SELECT p_partkey,
+        substr(p_name, unnest(range(1, greatest(length(p_name) - 2, 1) + 1))::INT, 3) AS g FROM part) WHERE g <> ''""",
     "fingerprint_rows": f"WITH {MOL}, {BITS} SELECT ordinal, n_on, bit_sum FROM sizes",
     "popcount": f"WITH {MOL}, {BITS} SELECT ordinal, n_on FROM sizes",
     "pack_words": f"""WITH {MOL}, {BITS}, w AS (
@@ -335,7 +337,7 @@ SQL: dict[str, str] = {
         WHERE place <= least(50, greatest(10, (SELECT floor(sqrt(count(*)) / 10) FROM sizes)))""",
     "overlap_nn": f"""WITH {SPLIT},
         tok AS (SELECT ordinal, t, count(*) AS c FROM (SELECT ordinal,
-          unnest(regexp_split_to_array(lower(smiles), '[^a-z0-9]+')) AS t FROM mol WHERE smiles IS NOT NULL)
+          unnest(regexp_split_to_array(lower(smiles), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM mol WHERE smiles IS NOT NULL)
           WHERE t <> '' GROUP BY 1, 2),
         side AS (SELECT a.ordinal, a.key, a.split, CASE WHEN a.source = 'PKS' THEN 1 ELSE 0 END AS label,
           coalesce((SELECT sum(c) FROM tok WHERE tok.ordinal = a.ordinal), 0)::BIGINT AS n FROM assigned a),
@@ -366,7 +368,8 @@ SQL: dict[str, str] = {
     ),
     "expand_one_step": f"""SELECT DISTINCT product FROM (SELECT product FROM ({_rewrites(False)})
         UNION ALL SELECT p_name FROM part) WHERE product NOT IN ('red gear', 'blue rod') AND product <> ''""",
-    "udf_map_rows": """SELECT doc_id, unnest(range(0, n_chars // 2000)) AS page FROM documents WHERE n_chars >= 100""",
+    "udf_map_rows": """SELECT doc_id, unnest(range(0, n_chars // 2000)) AS page FROM documents WHERE n_chars >= 100
+        AND doc_id % 7 <> 0""",
     "confusion_report": f"WITH {LINES}, {_metrics('rows', 'score', 'hard')} SELECT {RATES} FROM k",
     "roc_auc": f"WITH {LINES}, {_metrics('rows', 'l_extendedprice', 'hard')} SELECT round(roc_auc, 9) AS roc_auc FROM m",
     "average_precision": f"""WITH {LINES}, {_metrics('rows', 'l_extendedprice', 'hard')}
@@ -395,6 +398,13 @@ SQL: dict[str, str] = {
         w AS (SELECT bit, avg(label) - 0.05e0 AS weight FROM bits JOIN sizes USING (ordinal) GROUP BY 1)
         SELECT s.ordinal, round(1 / (1 + exp(-(-0.5e0 + coalesce(sum(weight), 0)))), 9) AS score
         FROM sizes s LEFT JOIN bits b ON b.ordinal = s.ordinal LEFT JOIN w ON w.bit = b.bit GROUP BY 1""",
+    "train_linear": "SELECT unnest(range(-1, 2048)) AS feature, true AS flat",
+    "score_linear": f"""WITH {SPLIT}, {BITS} SELECT s.ordinal, s.label::BIGINT AS label, 0e0 AS difference
+        FROM sizes s JOIN assigned a ON s.ordinal = a.ordinal WHERE a.split = 'test'""",
+    "project_2d": f"""WITH r AS (SELECT vec_id, label::VARCHAR AS source, CASE WHEN label = 3 THEN 1 ELSE 0 END AS label
+          FROM embeddings), {_split('r', 'vec_id', 'label')}
+        SELECT vec_id::VARCHAR AS smiles, source, split, CASE WHEN r.label = 1 THEN 'PKS' ELSE 'non-PKS' END AS is_pks,
+        0e0 AS off_diagonal, true AS ordered FROM r JOIN cut USING (vec_id)""",
     "model_metadata": f"""WITH {KEYED} SELECT count(*) AS train_rows, 2048::BIGINT AS n_features,
         count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg FROM key_labels""",
 }

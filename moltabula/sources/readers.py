@@ -59,17 +59,28 @@ def load_splits(spark: SparkSession, base: str, splits: tuple[str, ...] = SPLITS
 
 
 def read_shards(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    """All shards of a glob pattern; unreadable and vanished files are passed over."""
+    """All shards of a glob pattern; unreadable and vanished files are passed over.
+
+    A warning says how many files gave no rows; when none does, it is an error.
+    """
     target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
     if not found:
         raise FileNotFoundError(f"no shard matches {pattern}")
-    return (
+    shards = (
         spark.read.schema(schema)
         .option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
         .parquet(pattern)
     )
+    listed = len(shards.inputFiles())
+    # one name for each file, not for each row
+    good = shards.select(F.col("_metadata.file_path").alias("file")).distinct().count()
+    if not good:
+        raise ValueError(f"no shard of {pattern} could be read")
+    if good < listed:
+        warnings.warn(f"{listed - good} of {listed} shards of {pattern} gave no rows", stacklevel=2)
+    return shards
 
 
 def merge_shards(spark: SparkSession, pattern: str, schema: T.StructType, index: str = "index") -> DataFrame:

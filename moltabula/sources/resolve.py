@@ -55,9 +55,12 @@ def require_columns(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
                schema: T.StructType | None = None) -> DataFrame:
-    """Parquet or CSV by extension; ``columns`` prunes the scan. CSV values hold no line breaks."""
+    """Parquet or CSV by extension; ``columns`` prunes the scan.
+
+    CSV values may hold line breaks, so a CSV file is not split: large tables want many files, or parquet.
+    """
     if path.endswith(".csv"):
-        reader = spark.read.option("header", True).option("escape", '"')
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
         df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
     else:
         df = spark.read.parquet(path)

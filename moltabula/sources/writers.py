@@ -15,7 +15,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     """Overwrite a table; the format is always the caller's choice."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
+        # as written, with the white space at both ends of a value
         writer = writer.option("header", True).option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

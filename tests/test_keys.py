@@ -114,8 +114,6 @@ def test_enumerate_designs(spark):
     assert rules.enumerate_designs(starters, "s", modules, "m", (1, 2, 3), alike).count() == 12
     with pytest.raises(ValueError):
         rules.enumerate_designs(starters, "s", modules, "m", (3,), limit=10)
-    with pytest.raises(ValueError):
-        rules.enumerate_designs(starters, "s", modules, "m", (1,), catalog_limit=1)
 
 
 def test_map_rows(spark):
