@@ -32,7 +32,7 @@ WINDOW = 2048
 CLASS = 16  # tails are counted by length in steps of so many tokens
 FILLER = 8  # one tail in so many is filler
 BLOCK = 1 << 16  # positions in a block of the overlay join
-BUCKET_ROWS = 200_000  # rows that one task numbers
+BUCKET_ROWS = 20_000  # rows that one task numbers
 
 
 # -- lengths: small arrays on the driver ---------------------------------------------------------
