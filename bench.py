@@ -17,7 +17,8 @@ HEADLINE = [
     "enumerate_designs", "apply_rules", "expand_one_step", "distinct_lines", "hash_fingerprint",
     "graph_fingerprint_rows", "tanimoto_nn", "knn_graph", "overlap_nn", "eval_report", "roc_auc",
     "average_precision", "even_chunks", "epoch_batches", "weighted_resample", "feature_stats", "standardize",
-    "supcon_loss", "score_from_weights", "train_linear", "train_incremental",
+    "supcon_loss", "score_from_weights", "train_linear", "train_incremental", "score_linear", "linear_probe", "train_mlp",
+    "project_2d", "knn_lsh", "tanimoto_nn_prefix", "gram_fingerprint",
 ]
 
 
