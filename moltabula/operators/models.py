@@ -194,5 +194,15 @@ def save_model(model, metadata: DataFrame, path: str) -> None:
     metadata.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
+def save_weights(weights: DataFrame, metadata: DataFrame, path: str) -> None:
+    """A ``(feature, weight)`` table, as incremental training gives it, with its metadata."""
+    weights.coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+    metadata.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def load_weights(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/metadata")
+
+
 def load_linear(spark: SparkSession, path: str) -> tuple[LogisticRegressionModel, DataFrame]:
     return LogisticRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/metadata")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moltabula.constants import FINGERPRINT_SUFFIX, HELPER_VALUES, SPLIT_FILE, SPLITS
-from moltabula.functions.labels import encode_label
+from moltabula.functions.labels import decode_label, encode_label
 from moltabula.functions.text import normalize_key
 from moltabula.operators.dedup import compile_dedup, first_seen_last_wins
 from moltabula.operators.fingerprint import bit_vectors, hash_fingerprint
@@ -85,6 +85,16 @@ def neighbour_baseline(fingerprints: DataFrame, ordinal: str = "ordinal", **opti
     return predictions, neighbour_report(predictions, "true_label", "pred_label")
 
 
+def neighbour_table(fingerprints: DataFrame, key: str = "smiles", ordinal: str = "ordinal", **options) -> DataFrame:
+    """The neighbour result as it is stored: key, named labels, similarity and the neighbour's key."""
+    rows = fingerprints.withColumn("label", encode_label(F.col("source")))
+    test, train = (rows.filter(F.col("split") == s) for s in ("test", "train"))
+    found = tanimoto_nn(test, train, ordinal, carry=(key,), **options).join(test.select(ordinal, key), ordinal)
+    return found.select(
+        key, decode_label(F.col("true_label")).alias("true_label"), decode_label(F.col("pred_label")).alias("pred_label"),
+        "nn_similarity", f"nn_{key}")
+
+
 def linear_baseline(fingerprints: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit on train, score test; gives the scored rows and the report, and saves both with a ``path``."""
     rows = bit_vectors(fingerprints.withColumn("label", encode_label(F.col("source"))))

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moltabula.functions.bits import pack_words, popcount, unpack_words
-from moltabula.functions.labels import decode_label, encode_label
+from moltabula.functions.labels import decode_label, encode_label, ensure_label_name
 from moltabula.functions.text import key_digest, normalize_key, tokens
 from moltabula.functions.vectors import as_doubles, dot, l2_norm
 from moltabula.operators import contrastive, dedup, features, fingerprint, metrics, models, overlap, quality
 from moltabula.operators import rowfn, rules, sampling, similarity, split
+from moltabula.plans import pipelines
 from moltabula.operators.rank import rank_by_value, seeded_hash
 from moltabula.scratch import scratch_path, written
 from moltabula.sources import readers, writers
@@ -169,6 +170,31 @@ def parquet_roundtrip(spark, folder):
     return read_table(spark, path, ["ordinal", "source"])
 
 
+@query
+def split_files(spark, folder):
+    """Splits written as files in the usual layout, found again and read with the split as a tag."""
+    base = scratch_path(spark, "splits")
+    pipelines.write_splits(assigned(spark, folder).select("key", "source", "split"), base)
+    return readers.load_splits(spark, base, features=False).select("key", "source", "split")
+
+
+@query
+def training_export(spark, folder):
+    """The training arrays as files, described from what was written."""
+    path = scratch_path(spark, "export")
+    writers.write_training_arrays(prints(spark, folder), path)
+    described = spark.read.json(f"{path}/description")
+    weighed = spark.read.parquet(f"{path}/arrays").agg(
+        F.sum(F.aggregate("fps", F.lit(0.0), lambda acc, v: acc + v.cast("double"))).cast("bigint"))
+    return described.select("n_rows", "width", "n_pos", "n_neg").withColumn("n_set", weighed.scalar())
+
+
+@query
+def label_fallback(spark, folder):
+    """Labels of a table that has only a source."""
+    return ensure_label_name(labelled(spark, folder).select("ordinal", "source"), "name").select("ordinal", "name")
+
+
 @query
 def shard_merge(spark, folder):
     path = scratch_path(spark, "shards")
@@ -533,6 +559,11 @@ def udf_pair_score(spark, folder):
     return tidy(found.select("ordinal", "pred_label", "score", "nn_text"))
 
 
+@query
+def neighbour_table(spark, folder):
+    return tidy(pipelines.neighbour_table(split_prints(spark, folder), "key"))
+
+
 # rules
 
 
@@ -682,6 +713,16 @@ def score_from_weights(spark, folder):
     return tidy(scored.select("ordinal", "score"))
 
 
+@query
+def saved_weights(spark, folder):
+    """The same with weights that were saved and loaded."""
+    path = scratch_path(spark, "weights")
+    rows = stored_prints(spark, folder)
+    models.save_weights(bit_weights(spark, rows), models.model_metadata(rows, "label", ["on_bits"]), path)
+    weights, _ = models.load_weights(spark, path)
+    return tidy(models.score_from_weights(rows, weights).select("ordinal", "score"))
+
+
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.bit_vectors(split_prints(spark, folder))
 

@@ -227,6 +227,7 @@ SQL: dict[str, str] = {
     "ml_export": f"""WITH {MOL}, {BITS} SELECT count(*) AS n_rows, 2048::BIGINT AS width, sum(label)::BIGINT AS n_pos,
         sum(1 - label)::BIGINT AS n_neg, sum(n_on)::BIGINT AS n_set FROM sizes""",
     "label_encode": f"""WITH {MOL} SELECT ordinal, CASE WHEN source = 'PKS' THEN 1 ELSE 0 END::BIGINT AS label FROM mol""",
+    "label_fallback": f"""WITH {MOL} SELECT ordinal, CASE WHEN source = 'PKS' THEN 'PKS' ELSE 'non-PKS' END AS name FROM mol""",
     "label_decode": f"""WITH {MOL} SELECT ordinal, CASE WHEN source = 'PKS' THEN 'PKS' ELSE 'non-PKS' END AS name FROM mol""",
     "normalize_key": f"WITH {MOL} SELECT ordinal, sha256(smiles) AS key FROM mol",
     "drop_invalid": f"""SELECT doc_id, count(*) AS n_kept FROM (
@@ -398,6 +399,10 @@ SQL: dict[str, str] = {
         w AS (SELECT bit, avg(label) - 0.05e0 AS weight FROM bits JOIN sizes USING (ordinal) GROUP BY 1)
         SELECT s.ordinal, round(1 / (1 + exp(-(-0.5e0 + coalesce(sum(weight), 0)))), 9) AS score
         FROM sizes s LEFT JOIN bits b ON b.ordinal = s.ordinal LEFT JOIN w ON w.bit = b.bit GROUP BY 1""",
+    "saved_weights": f"""WITH {MOL}, {BITS},
+        w AS (SELECT bit, avg(label) - 0.05e0 AS weight FROM bits JOIN sizes USING (ordinal) GROUP BY 1)
+        SELECT s.ordinal, round(1 / (1 + exp(-(-0.5e0 + coalesce(sum(weight), 0)))), 9) AS score
+        FROM sizes s LEFT JOIN bits b ON b.ordinal = s.ordinal LEFT JOIN w ON w.bit = b.bit GROUP BY 1""",
     "train_linear": "SELECT unnest(range(-1, 2048)) AS feature, true AS flat",
     "score_linear": f"""WITH {SPLIT}, {BITS} SELECT s.ordinal, s.label::BIGINT AS label, 0e0 AS difference
         FROM sizes s JOIN assigned a ON s.ordinal = a.ordinal WHERE a.split = 'test'""",
@@ -405,6 +410,13 @@ SQL: dict[str, str] = {
           FROM embeddings), {_split('r', 'vec_id', 'label')}
         SELECT vec_id::VARCHAR AS smiles, source, split, CASE WHEN r.label = 1 THEN 'PKS' ELSE 'non-PKS' END AS is_pks,
         0e0 AS off_diagonal, true AS ordered FROM r JOIN cut USING (vec_id)""",
+    "split_files": f"WITH {SPLIT} SELECT key, source, split FROM assigned",
+    "training_export": f"""WITH {MOL}, {BITS} SELECT count(*) AS n_rows, 2048::BIGINT AS width, sum(label)::BIGINT AS n_pos,
+        sum(1 - label)::BIGINT AS n_neg, sum(n_on)::BIGINT AS n_set FROM sizes""",
+    "neighbour_table": f"""WITH {NEAREST}
+        SELECT a.key, CASE WHEN true_label = 1 THEN 'PKS' ELSE 'non-PKS' END AS true_label,
+          CASE WHEN pred_label = 1 THEN 'PKS' ELSE 'non-PKS' END AS pred_label, round(score, 9) AS nn_similarity, b.key AS nn_key
+        FROM nearest n JOIN assigned a ON a.ordinal = n.q JOIN assigned b ON b.ordinal = n.t""",
     "model_metadata": f"""WITH {KEYED} SELECT count(*) AS train_rows, 2048::BIGINT AS n_features,
         count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg FROM key_labels""",
 }

@@ -55,6 +55,12 @@ def training_arrays(df: DataFrame, on_bits: str = "on_bits", source: str = "sour
     )
 
 
+def write_training_arrays(df: DataFrame, path: str, on_bits: str = "on_bits", source: str = "source") -> None:
+    """The export as files: rows under ``arrays``, and its description as one JSON record."""
+    training_arrays(df, on_bits, source).write.mode("overwrite").parquet(f"{path}/arrays")
+    write_record(describe_training_arrays(df.sparkSession.read.parquet(f"{path}/arrays")), f"{path}/description")
+
+
 def describe_training_arrays(arrays: DataFrame) -> DataFrame:
     """Rows, width and class counts of an export."""
     return arrays.agg(

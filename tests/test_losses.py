@@ -133,3 +133,58 @@ class _Far:
 def test_no_machine_local_scratch_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.scratch_root(_Far)
+
+
+def test_slow_and_failing_pairs_score_zero(spark):
+    import time
+
+    from moltabula.operators import overlap
+
+    def score(a, b):
+        if b == 1:
+            time.sleep(30)
+        if b == 2:
+            raise ValueError
+        return b / 10
+
+    test = spark.createDataFrame([(0, 1, 5)], "ordinal long, label int, size int")
+    train = spark.createDataFrame([(i, i % 2, i) for i in range(1, 5)], "ordinal long, label int, size int")
+    found = overlap.best_match(test, train, score, "size", seconds=0.2).first()
+    assert found.score == 0.4 and found.nn_text == "4"
+    alone = overlap.best_match(test, train.filter("size < 3"), score, "size", seconds=0.2).first()
+    assert alone.score == 0.0
+
+
+def test_every_row_gets_all_its_neighbours(spark):
+    from moltabula.operators import similarity
+
+    data = [(i, [i * 20, i * 20 + 1]) for i in range(40)] + [(100, []), (101, [])]
+    df = spark.createDataFrame(data, "ordinal long, on_bits array<int>")
+    counts = similarity.knn_lsh(df, k=5).groupBy("ordinal").count().collect()
+    assert len(counts) == 42 and {r["count"] for r in counts} == {5}
+
+
+def test_size_classes_lose_no_near_neighbour(spark):
+    import random
+
+    from moltabula.operators import similarity
+
+    rng = random.Random(9)
+    base = sorted(rng.sample(range(2048), 200))
+    rows = [(i, sorted(rng.sample(base, n))) for i, n in enumerate(rng.choices(range(1, 201), k=120))]
+    sets = spark.createDataFrame([(i, b, [i]) for i, b in rows], "id long, on_bits array<smallint>, ordinals array<long>")
+    queries, targets = sets.filter("id % 2 = 0"), sets.filter("id % 2 = 1")
+    full = {r["id"]: (round(r["score"], 9), r["nn"]) for r in similarity.nearest_sets(queries, targets, ()).collect()}
+    for thresholds in ((0.95,), (0.8, 0.5), (0.3,)):
+        got = {r["id"]: (round(r["score"], 9), r["nn"]) for r in similarity.nearest_sets(queries, targets, thresholds).collect()}
+        assert got == full
+
+
+def test_saved_files_come_back(spark, tmp_path):
+    df = spark.createDataFrame([("PKS", [0, 5]), ("bio", [])], "source string, on_bits array<int>")
+    writers.write_training_arrays(df, str(tmp_path / "x"))
+    back = spark.read.parquet(str(tmp_path / "x" / "arrays")).collect()
+    assert sorted((sum(r.fps), r.label) for r in back) == [(0.0, 0), (2.0, 1)]
+    weights = spark.createDataFrame([(-1, 0.5), (3, 1.0)], "feature int, weight double")
+    models.save_weights(weights, df.limit(1), str(tmp_path / "w"))
+    assert rows(models.load_weights(spark, str(tmp_path / "w"))[0]) == [(-1, 0.5), (3, 1.0)]
