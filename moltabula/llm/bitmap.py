@@ -20,8 +20,8 @@ BITS = 27  # 16 MB
 def build(hashes: DataFrame, column: str) -> Broadcast:
     """Bitmap of a column of hashes, put together by Spark and sent to the executors."""
     words = hashes.select(
-        F.expr(f"shiftrightunsigned(`{column}`, {64 - BITS + 6})").alias("at"),
-        F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - BITS}) & 63 as int))").alias("bit"))
+        F.expr(f"shiftrightunsigned(`{column}` & {(1 << BITS) - 1}L, 6)").alias("at"),
+        F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("bit"))
     rows = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2^(BITS - 6) rows
     out = np.zeros(1 << (BITS - 6), np.int64)
     out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
@@ -29,8 +29,8 @@ def build(hashes: DataFrame, column: str) -> Broadcast:
 
 
 def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """For each signed 64-bit hash whether it may be in the set."""
-    h = hashes.view(np.uint64) >> np.uint64(64 - BITS)
+    """For each signed 64-bit hash whether it may be in the set; its lowest bits count."""
+    h = hashes.view(np.uint64) & np.uint64((1 << BITS) - 1)
     return (bits[(h >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 

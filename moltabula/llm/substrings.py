@@ -1,5 +1,6 @@
 """Removal of repeated byte strings across documents with suffix order in shards.
 
+0. Of equal texts only the first goes on; the others are removed whole if they have ``LENGTH`` bytes.
 1. Every window of ``LENGTH`` bytes has an anchor: the ``GRAM`` bytes in it with the least hash. Equal windows have
    equal anchors. Windows whose anchor occurs once are unique; the others go on, in runs that share an anchor, each with its context bytes.
 2. Equal contexts form a class; every copy but the first is removed whole. One context of a class goes to a shard by its anchor.
@@ -27,6 +28,7 @@ LENGTH = 100
 GRAM = 24
 CROWDED = 4096  # classes of one anchor
 SHARD_BYTES = 4 << 20
+DIRECT_SHARE = 0.05  # of the bitmap's bits that repeated anchors may set for contexts to be taken directly
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -108,22 +110,46 @@ def _anchors(texts: DataFrame, repeated: Broadcast | None) -> DataFrame:
     return _by_part(texts, run, "h long, doc_id long, mark long, first int, last int", lambda: repeated.value)
 
 
-def _contexts(placed: DataFrame) -> DataFrame:
-    """``h, c0, c1, doc_id, mark, first, context`` for each run, from ``doc_id, mark, text, runs``; c0 and c1 are a digest of the context."""
+CONTEXT = "h long, c0 long, c1 long, doc_id long, mark long, first int, context binary"
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+
+def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows ``h, doc_id, mark, first, context`` with a digest of the context."""
+    digests = [hashlib.blake2b(r[4], digest_size=16).digest() for r in rows]
+    parts = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    h, doc, mark, first, context = zip(*rows) if rows else ([], [], [], [], [])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h, pa.int64()), pa.array(parts[:, 0]), pa.array(parts[:, 1]), pa.array(doc, pa.int64()), pa.array(mark, pa.int64()),
+         pa.array(first, pa.int32()), pa.array(context, pa.binary())], ["h", "c0", "c1", "doc_id", "mark", "first", "context"])
+
+
+def _direct_contexts(texts: DataFrame, repeated: Broadcast) -> DataFrame:
+    """Contexts of all runs whose anchor may be repeated, in one pass over the texts."""
+
+    def run(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
         rows: list[tuple] = []
-        texts = batch.column(2).cast(pa.binary()).to_pylist()
-        for doc, mark, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist()):
-            for r in runs:
-                context = text[r["first"]:r["last"] + LENGTH]
-                digest = hashlib.blake2b(context, digest_size=16).digest()
-                rows.append((r["h"], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, mark, r["first"], context))
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-        columns = list(zip(*rows)) or [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "c0", "c1", "doc_id", "mark", "first", "context"])
+        for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+            hashes, first, last = anchor_runs(_bytes_of(text))
+            good = bitmap.holds(bits, hashes)
+            rows += [(h, doc, mark, a, text[a:b + LENGTH]) for h, a, b in zip(hashes[good].tolist(), first[good].tolist(), last[good].tolist())]
+        return _context_batch(rows)
+
+    return _by_part(texts, run, CONTEXT, lambda: repeated.value)
+
+
+def _joined_contexts(texts: DataFrame, repeated: DataFrame, bits: Broadcast) -> DataFrame:
+    """Contexts of runs whose anchor is repeated: runs go to their texts by a join."""
+    runs = _anchors(texts, bits).join(repeated, "h")
+    # a document has fewer runs than bytes
+    by_doc = written(runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs")), "runs")
+    placed = bitmap.keep(texts, "mark", bitmap.build(by_doc, "mark")).join(by_doc, ["doc_id", "mark"])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()]
+        return _context_batch([
+            (r["h"], doc, mark, r["first"], text[r["first"]:r["last"] + LENGTH]) for doc, mark, text, runs in zip(*columns) for r in runs])
 
-    return _by_part(placed, run, "h long, c0 long, c1 long, doc_id long, mark long, first int, context binary")
+    return _by_part(placed, run, CONTEXT)
 
 
 SPAN = "doc_id long, mark long, start int, stop int"
@@ -176,14 +202,26 @@ def _crowded_spans(classes: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, mark, start, stop``: byte spans, which may overlap, that together cover every repeated window."""
-    texts = _texts(docs, id_col, text_col).where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
+    whole = _texts(docs, id_col, text_col).where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
+    rows = whole.select("doc_id", "mark", F.xxhash64(F.lit(1), "text").alias("mark2"), F.octet_length("text").alias("size"))
+    rows = written(rows, "rows")
+    heads = rows.groupBy("mark", "mark2", "size").agg(F.min("doc_id").alias("head"))
+    same = rows.join(heads, ["mark", "mark2", "size"])
+    again = same.where("doc_id > head").select("doc_id", "mark", F.lit(0).alias("start"), F.col("size").alias("stop"))
+    # a copy that the bitmap lets through does no harm: it is removed whole in any case
+    first = bitmap.build(heads.select(F.xxhash64("head", "mark").alias("row")), "row")
+    keyed = whole.select("doc_id", "mark", "text", F.xxhash64("doc_id", "mark").alias("row"))
+    texts = bitmap.keep(keyed, "row", first).drop("row")
     counted = _anchors(texts, None).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     repeated = written(counted, "anchors")
-    runs = _anchors(texts, bitmap.build(repeated, "h")).join(repeated, "h")
-    # a document has fewer runs than bytes
-    by_doc = written(runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs")), "runs")
-    placed = bitmap.keep(texts, "mark", bitmap.build(by_doc, "mark")).join(by_doc, ["doc_id", "mark"])
-    occurrences = written(_contexts(placed), "contexts")
+    bits = bitmap.build(repeated, "h")
+    # While the bitmap tells well, contexts come straight from the texts. A fuller one would let too many through, and
+    # a join of positions with texts moves less. Both give the same spans.
+    if repeated.count() <= DIRECT_SHARE * (1 << bitmap.BITS):
+        contexts = _direct_contexts(texts, bits)
+    else:
+        contexts = _joined_contexts(texts, repeated, bits)
+    occurrences = written(contexts, "contexts")
     key = ["h", "c0", "c1"]
     classes = occurrences.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "first", "context")).alias("r")).select(*key, "r.*")
     classes = written(classes, "classes")
@@ -196,7 +234,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = occurrences.select(*key, "doc_id", "mark", "first", F.octet_length("context").alias("size")).join(least, key)
     copies = copies.where(F.struct("doc_id", "mark", "first") != F.col("least")).select(
         "doc_id", "mark", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))
-    return copies.unionByName(_shard_spans(shards)).unionByName(_crowded_spans(classes.join(crowded, "h")))
+    return again.unionByName(copies).unionByName(_shard_spans(shards)).unionByName(_crowded_spans(classes.join(crowded, "h")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -179,9 +179,10 @@ def plain_removal(rows):
     return result
 
 
-@pytest.mark.parametrize("crowded", [substrings.CROWDED, 1])
-def test_repeated_strings(spark, docs, none, crowded, monkeypatch):
+@pytest.mark.parametrize("crowded,direct", [(substrings.CROWDED, 0.05), (1, 0.05), (substrings.CROWDED, -1.0)])
+def test_repeated_strings(spark, docs, none, crowded, direct, monkeypatch):
     monkeypatch.setattr(substrings, "CROWDED", crowded)
+    monkeypatch.setattr(substrings, "DIRECT_SHARE", direct)
     got = Counter(tuple(r)[:5] for r in substrings.without_repeats(docs).collect())
     assert got == plain_removal(documents())
     assert substrings.without_repeats(none).count() == 0
