@@ -43,7 +43,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """Write once to the shared folder and read back, for data that several jobs use."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
