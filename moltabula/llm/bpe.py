@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from moltabula.llm.common import arrow_map, id_and_text, slices
 
 LEAF = 2048  # characters of a leaf of the tree
 WINDOW = 8  # tokens on each side of a seam at first
-REMEMBERED = 600_000  # chunks remembered in a worker
+REMEMBERED = 250_000  # chunks remembered in a worker
 
 # Characters whose class and case are the same in every Unicode version; texts with others go to the library whole.
 _BYTE_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſЀ-џ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣]*")
@@ -128,7 +129,7 @@ class Bpe:
         for piece in set(new).difference(short):
             ids[piece] = self.tree(self._mapped(piece))
         for chunk, parts in zip(chunks, pieces):
-            self.known[chunk] = np.array([i for p in parts for i in ids[p]], np.uint32).tobytes()
+            self.known[chunk] = array("I", ids[parts[0]] if len(parts) == 1 else [i for p in parts for i in ids[p]]).tobytes()
 
     # -- whole texts -------------------------------------------------------------------------
 

@@ -36,7 +36,7 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.Table | pa.
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of one string column, a longer value alone."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)

@@ -28,8 +28,9 @@ GRAMS = (2, 3, 4)
 SWITCH_PENALTY = 12.0  # log-likelihood that a change of language must gain
 SMOOTHING = 0.5
 SCRIPT_SHARE = 0.01  # a language uses a script that at least so much of its sample's words are in
+SLICE = 2 << 20  # bytes of text labelled abreast
 MIN_SCORE = 0.4  # least share of letters in the predicted language for a document to stay in a filter
-REMEMBERED = 300_000  # words remembered in a task
+REMEMBERED = 150_000  # words remembered in a task
 
 # First code points of script ranges (fixed values of Unicode), each up to the next; number of the script.
 _RANGES = [
@@ -194,7 +195,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(model)  # 2^FEATURE_BITS rows, one column for each language
 
     def parts(batch: pa.RecordBatch, state: _Words) -> pa.Table:
-        return pa.Table.from_batches([_identify(part, state) for part in slices(batch, 1)])
+        return pa.Table.from_batches([_identify(part, state) for part in slices(batch, 1, SLICE)])
 
     schema = "doc_id long, lang_pred string, score double, spans string"
     return arrow_map(id_and_text(docs, id_col, text_col), parts, schema, lambda: _Words(shared.value))
@@ -213,7 +214,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE,
 
     def parts(batch: pa.RecordBatch, state: _Words) -> pa.Table:
         out = []
-        for part in slices(batch, text):
+        for part in slices(batch, text, SLICE):
             filled = pa.RecordBatch.from_arrays([part.column(text), part.column(text).fill_null("")], ["id", "text"])
             found = _identify(filled, state)
             columns = list(part.columns)
