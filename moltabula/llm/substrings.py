@@ -27,7 +27,8 @@ from moltabula.scratch import written
 LENGTH = 100
 GRAM = 24
 CROWDED = 4096  # classes of one anchor
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 19  # least bytes of a shard; a task has many shards
+PART_BYTES = 16 << 20
 DIRECT_SHARE = 0.05  # of the bitmap's bits that repeated anchors may set for contexts to be taken directly
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -156,19 +157,38 @@ SPAN = "doc_id long, mark long, start int, stop int"
 
 
 def _shard_spans(classes: DataFrame) -> DataFrame:
-    """Spans of repeated windows among contexts; each partition is a shard."""
+    """Spans of repeated windows among contexts, sorted by anchor within partitions; all contexts of an anchor are in one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if size >= SHARD_BYTES:
+                anchors = batch.column(0).to_numpy(zero_copy_only=False)
+                other = np.flatnonzero(anchors != held[-1].column(0)[-1].as_py())
+                cut = int(other[0]) if len(other) else batch.num_rows
+                held.append(batch.slice(0, cut))
+                batch = batch.slice(cut)
+                if not batch.num_rows:
+                    continue
+                yield from shard(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.num_rows * (LENGTH + 8)  # each context has at least LENGTH bytes
+        if held:
+            yield from shard(held)
+
+    def shard(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in held if b.num_rows]
         table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("mark", "ascending"), ("first", "ascending")])
         ids, marks, firsts = (table.column(c).to_numpy() for c in ("doc_id", "mark", "first"))
         contexts = table.column("context").to_pylist()
         # bytes of UTF-8 end at 0xF4, so all move up by one and leave 0 for the separator
-        shard = np.frombuffer(b"\xff".join([*contexts, b""]), np.uint8) + np.uint8(1)
+        joined = np.frombuffer(b"\xff".join([*contexts, b""]), np.uint8) + np.uint8(1)
         begins = np.concatenate([[0], np.cumsum([len(c) + 1 for c in contexts])])
-        at = suffixes.repeats(shard, LENGTH)
+        at = suffixes.repeats(joined, LENGTH)
         if not len(at):
             return
         row = np.searchsorted(begins, at, side="right") - 1
@@ -179,7 +199,7 @@ def _shard_spans(classes: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids[r]), pa.array(marks[r]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["doc_id", "mark", "start", "stop"])
 
-    return classes.select("doc_id", "mark", "first", "context").mapInArrow(run, SPAN)
+    return classes.select("h", "doc_id", "mark", "first", "context").mapInArrow(run, SPAN)
 
 
 def _crowded_spans(classes: DataFrame) -> DataFrame:
@@ -229,7 +249,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = spread.agg(F.sum("b").alias("b")).first()["b"] or 0
     crowded = spread.where(F.col("n") > CROWDED).select("h")
     alone = spread.where("n = 1").select("h")
-    shards = classes.join(crowded, "h", "left_anti").join(alone, "h", "left_anti").repartition(int(total // SHARD_BYTES) + 1, "h")
+    shards = classes.join(crowded, "h", "left_anti").join(alone, "h", "left_anti")
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(int(total // PART_BYTES), min(wide, int(total // SHARD_BYTES))) + 1
+    shards = shards.repartition(n_parts, "h").sortWithinPartitions("h")
     least = classes.select(*key, F.struct("doc_id", "mark", "first").alias("least"))
     copies = occurrences.select(*key, "doc_id", "mark", "first", F.octet_length("context").alias("size")).join(least, key)
     copies = copies.where(F.struct("doc_id", "mark", "first") != F.col("least")).select(

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-RUN_ROWS = 1 << 18  # LMS suffixes sorted at once
+RUN_ROWS = 1 << 19  # LMS suffixes sorted at once
 MEMORY = 64 << 20
 FAR = 1 << 20
 
@@ -80,7 +80,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def sorted_lms(text: np.ndarray, lms: np.ndarray, depth: int, memory: int, run_rows: int = RUN_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """LMS positions by the first ``depth`` characters, with common prefixes, from sorted runs that a priority queue merges."""
     if len(lms) <= run_rows:
-        parts: Iterator[np.ndarray] = iter([lms[np.argsort(_keys(text, lms, depth).copy().view(f"S{depth}")[:, 0], kind="stable")]])
+        parts: Iterator[np.ndarray] = iter([lms[np.argsort(_keys(text, lms, depth).view(f"S{depth}")[:, 0], kind="stable")]])
     else:
         parts = _merged(text, lms, depth, memory, run_rows)
     last = None
@@ -99,13 +99,13 @@ def sorted_lms(text: np.ndarray, lms: np.ndarray, depth: int, memory: int, run_r
 def _merged(text: np.ndarray, lms: np.ndarray, depth: int, memory: int, run_rows: int) -> Iterator[np.ndarray]:
     def rows(run: Queue) -> Iterator[tuple[bytes, int]]:
         for (at,) in run.serve():
-            keys = _keys(text, at, depth).copy().view(f"S{depth}")[:, 0]
+            keys = _keys(text, at, depth).view(f"S{depth}")[:, 0]
             yield from zip(keys.tolist(), at.tolist())
 
     runs = []
     for i in range(0, len(lms), run_rows):
         part = lms[i:i + run_rows]
-        part = part[np.argsort(_keys(text, part, depth).copy().view(f"S{depth}")[:, 0], kind="stable")]
+        part = part[np.argsort(_keys(text, part, depth).view(f"S{depth}")[:, 0], kind="stable")]
         queue = Queue(memory // 64)
         for j in range(0, len(part), 4096):
             queue.put(part[j:j + 4096])
