@@ -7,6 +7,7 @@ on the full sets.
 
 Within a bucket of a band each document first meets only the least one. Confirmed links give components, and afterwards
 only documents of different components meet, so a bucket full of near copies never makes all its pairs, and none that could join two components is left out.
+These get signatures of ``LONG`` minima, so that few pairs below the threshold remain to be read in full.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ SIMILARITY_PERCENT = 75
 BANDS, ROWS = 32, 4  # a pair at 0.75 shares no band with a probability of 5e-6
 HASHES = BANDS * ROWS
 BITS = 2  # low bits kept of each minimum
+LONG = 1024  # minima in the signatures of documents that are left
 SLACK = 5.0  # standard deviations by which the estimate may fall short
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
-_SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FACTORS = (_SEEDS[:HASHES] | np.uint64(1)).astype(np.uint32)
-_SHIFTS = _SEEDS[HASHES:].astype(np.uint32)
+_SEEDS = mix64(np.arange(1, 2 * LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FACTORS = (_SEEDS[:LONG] | np.uint64(1)).astype(np.uint32)
+_SHIFTS = _SEEDS[LONG:].astype(np.uint32)
 _PLACES = mix64(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -73,13 +75,14 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over a set."""
+def minima(hashes: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """The least value of each of ``n`` hash functions over a set."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(short), 2048):
-        block = np.multiply.outer(short[i:i + 2048], _FACTORS)
-        block += _SHIFTS
+    low = np.full(n, 0xFFFFFFFF, np.uint32)
+    step = (1 << 18) // n
+    for i in range(0, len(short), step):
+        block = np.multiply.outer(short[i:i + step], _FACTORS[:n])
+        block += _SHIFTS[:n]
         np.minimum(low, block.min(axis=0), out=low)
     return low
 
@@ -101,6 +104,7 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 N_WORDS = HASHES * BITS // 64
 SIGNATURE = [f"s{i}" for i in range(N_WORDS)]
+LONG_SIGNATURE = [f"l{i}" for i in range(LONG * BITS // 64)]
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,17 +133,30 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return arrow_map(id_and_text(docs, id_col, text_col), parts, schema, Shingler)
 
 
-def may_be_similar(left: str, right: str) -> Column:
+def long_signatures(texts: DataFrame) -> DataFrame:
+    """``doc_id, l0 ...``: packed signatures of ``LONG`` minima."""
+
+    def run(batch: pa.RecordBatch, shingler: Shingler) -> pa.RecordBatch:
+        sets = shingler.sets(batch.column(1).cast(pa.binary()).to_pylist())
+        sign = np.array([packed(minima(s, LONG)) for s in sets], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(sign[:, i]) for i in range(sign.shape[1])]], ["doc_id", *LONG_SIGNATURE])
+
+    schema = ", ".join(["doc_id long", *[f"{s} long" for s in LONG_SIGNATURE]])
+    return arrow_map(texts, run, schema, Shingler)
+
+
+def may_be_similar(left: str, right: str, columns: list[str] = SIGNATURE) -> Column:
     """Equal low bits of two signatures reach what the threshold leads to, less the slack."""
     odd = int("01" * 32, 2)
+    hashes = len(columns) * 64 // BITS
     differ = []
-    for s in SIGNATURE:
+    for s in columns:
         z = F.col(f"{left}{s}").bitwiseXOR(F.col(f"{right}{s}"))
         differ.append(F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(odd))))
     chance = 2.0 ** -BITS
     equal = chance + (1 - chance) * SIMILARITY_PERCENT / 100
-    least = equal - SLACK * (equal * (1 - equal) / HASHES) ** 0.5
-    return reduce(add, differ) <= int(HASHES * (1 - least))
+    least = equal - SLACK * (equal * (1 - equal) / hashes) ** 0.5
+    return reduce(add, differ) <= int(hashes * (1 - least))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,9 +188,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     at = written(at, "at")
     mixed = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    side = at.join(mixed, "band").join(signs, "doc_id")
-    left, right = (side.select("band", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "component", *SIGNATURE)]) for p in "ab")
-    across = left.join(right, "band").where("a_component < b_component").where(may_be_similar("a_", "b_"))
+    left_over = written(at.join(mixed, "band"), "left")
+    signs = long_signatures(texts.join(left_over.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    side = left_over.join(written(signs, "long"), "doc_id")
+    left, right = (side.select("band", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "component", *LONG_SIGNATURE)]) for p in "ab")
+    across = left.join(right, "band").where("a_component < b_component").where(may_be_similar("a_", "b_", LONG_SIGNATURE))
     across = across.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
     across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
     more = [confirmed(across, texts)]
