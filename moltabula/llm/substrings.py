@@ -242,22 +242,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         contexts = _joined_contexts(texts, repeated, bits)
     occurrences = written(contexts, "contexts")
-    key = ["h", "c0", "c1"]
-    classes = occurrences.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "first", "context")).alias("r")).select(*key, "r.*")
+    # a digest of the context stands for it, so that contexts themselves move once and only where they are compared
+    key, place = ["c0", "c1"], ["doc_id", "mark", "first"]
+    classes = occurrences.groupBy(*key).agg(F.min(F.struct(*place)).alias("least"), F.min("h").alias("h"))
     classes = written(classes, "classes")
-    spread = written(classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("context")).alias("b")), "spread")
-    total = spread.agg(F.sum("b").alias("b")).first()["b"] or 0
-    crowded = spread.where(F.col("n") > CROWDED).select("h")
-    alone = spread.where("n = 1").select("h")
-    shards = classes.join(crowded, "h", "left_anti").join(alone, "h", "left_anti")
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    needed = classes.join(several, "h").select("least.*", (F.col("n") > CROWDED).alias("crowded"))
+    needed = written(needed.withColumn("at", F.xxhash64(*place)), "needed")
+    likely = bitmap.keep(occurrences.select("h", *place, "context", F.xxhash64(*place).alias("at")), "at", bitmap.build(needed, "at"))
+    compared = written(likely.drop("at").join(needed.drop("at"), place).dropDuplicates(place), "compared")
+    total = compared.agg(F.sum(F.octet_length("context")).alias("b")).first()["b"] or 0
     wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_parts = max(int(total // PART_BYTES), min(wide, int(total // SHARD_BYTES))) + 1
-    shards = shards.repartition(n_parts, "h").sortWithinPartitions("h")
-    least = classes.select(*key, F.struct("doc_id", "mark", "first").alias("least"))
-    copies = occurrences.select(*key, "doc_id", "mark", "first", F.octet_length("context").alias("size")).join(least, key)
-    copies = copies.where(F.struct("doc_id", "mark", "first") != F.col("least")).select(
+    shards = compared.where("not crowded").repartition(n_parts, "h").sortWithinPartitions("h")
+    copies = occurrences.select(*key, *place, F.octet_length("context").alias("size")).join(classes.select(*key, "least"), key)
+    copies = copies.where(F.struct(*place) != F.col("least")).select(
         "doc_id", "mark", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))
-    return again.unionByName(copies).unionByName(_shard_spans(shards)).unionByName(_crowded_spans(classes.join(crowded, "h")))
+    return again.unionByName(copies).unionByName(_shard_spans(shards)).unionByName(_crowded_spans(compared.where("crowded")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
