@@ -104,6 +104,7 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 N_WORDS = HASHES * BITS // 64
 SIGNATURE = [f"s{i}" for i in range(N_WORDS)]
+BAND_KEYS = [f"b{i}" for i in range(BANDS)]
 LONG_SIGNATURE = [f"l{i}" for i in range(LONG * BITS // 64)]
 
 
@@ -190,9 +191,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     left_over = written(at.join(mixed, "band"), "left")
     signs = long_signatures(texts.join(left_over.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
-    side = left_over.join(written(signs, "long"), "doc_id")
-    left, right = (side.select("band", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "component", *LONG_SIGNATURE)]) for p in "ab")
+    keyed = heads.select("doc_id", *[F.col("bands")[i].alias(b) for i, b in enumerate(BAND_KEYS)])
+    side = left_over.join(written(signs.join(keyed, "doc_id"), "long"), "doc_id")
+    place = F.array_position(F.array(*BAND_KEYS), F.col("band")) - 1
+    side = side.withColumn("place", place.cast("int"))
+    left, right = (side.select("band", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "component", "place", *BAND_KEYS, *LONG_SIGNATURE)]) for p in "ab")
     across = left.join(right, "band").where("a_component < b_component").where(may_be_similar("a_", "b_", LONG_SIGNATURE))
+    # two documents meet in each band that they share; the first one counts
+    for i, b in enumerate(BAND_KEYS[:-1]):
+        across = across.where((F.col(f"a_{b}") != F.col(f"b_{b}")) | (F.col("a_place") <= i))
     across = across.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
     across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
     more = [confirmed(across, texts)]
