@@ -84,14 +84,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
-def _by_part(df: DataFrame, run, schema: str, prepare=None) -> DataFrame:
-    def parts(batch: pa.RecordBatch, *extra) -> pa.Table:
-        return pa.Table.from_batches([run(part, *extra) for part in slices(batch, 2)])
+def _by_part(df: DataFrame, run, schema: str, prepare=None, chosen: Broadcast | None = None) -> DataFrame:
+    """``run`` over slices of ``doc_id, mark, text, ...``; with a bitmap only rows whose last column may be in it."""
 
-    return arrow_map(df, parts, schema, prepare)
+    def parts(batch: pa.RecordBatch, state: tuple) -> pa.Table:
+        bits, extra = state
+        out = []
+        for part in slices(batch, 2):
+            if bits is not None:
+                part = part.filter(pa.array(bitmap.holds(bits, part.column(part.num_columns - 1).to_numpy(zero_copy_only=False))))
+            if part.num_rows:
+                out.append(run(part, *extra))
+        return pa.Table.from_batches(out) if out else pa.table({})
 
+    def state() -> tuple:
+        return chosen.value if chosen else None, (prepare(),) if prepare else ()
 
-def _anchors(texts: DataFrame, repeated: Broadcast | None) -> DataFrame:
+    return arrow_map(df, parts, schema, state)
+
+
+def _anchors(texts: DataFrame, repeated: Broadcast | None, chosen: Broadcast) -> DataFrame:
     """Hashes of all anchors, or with a bitmap the runs of those that may be repeated."""
 
     def run(batch: pa.RecordBatch, bits: np.ndarray | None = None) -> pa.RecordBatch:
@@ -107,8 +119,8 @@ def _anchors(texts: DataFrame, repeated: Broadcast | None) -> DataFrame:
             ["h", "doc_id", "mark", "first", "last"])
 
     if repeated is None:
-        return _by_part(texts, run, "h long")
-    return _by_part(texts, run, "h long, doc_id long, mark long, first int, last int", lambda: repeated.value)
+        return _by_part(texts, run, "h long", None, chosen)
+    return _by_part(texts, run, "h long, doc_id long, mark long, first int, last int", lambda: repeated.value, chosen)
 
 
 CONTEXT = "h long, c0 long, c1 long, doc_id long, mark long, first int, context binary"
@@ -124,7 +136,7 @@ def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
          pa.array(first, pa.int32()), pa.array(context, pa.binary())], ["h", "c0", "c1", "doc_id", "mark", "first", "context"])
 
 
-def _direct_contexts(texts: DataFrame, repeated: Broadcast) -> DataFrame:
+def _direct_contexts(texts: DataFrame, repeated: Broadcast, chosen: Broadcast) -> DataFrame:
     """Contexts of all runs whose anchor may be repeated, in one pass over the texts."""
 
     def run(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
@@ -135,15 +147,15 @@ def _direct_contexts(texts: DataFrame, repeated: Broadcast) -> DataFrame:
             rows += [(h, doc, mark, a, text[a:b + LENGTH]) for h, a, b in zip(hashes[good].tolist(), first[good].tolist(), last[good].tolist())]
         return _context_batch(rows)
 
-    return _by_part(texts, run, CONTEXT, lambda: repeated.value)
+    return _by_part(texts, run, CONTEXT, lambda: repeated.value, chosen)
 
 
-def _joined_contexts(texts: DataFrame, repeated: DataFrame, bits: Broadcast) -> DataFrame:
+def _joined_contexts(texts: DataFrame, repeated: DataFrame, bits: Broadcast, chosen: Broadcast) -> DataFrame:
     """Contexts of runs whose anchor is repeated: runs go to their texts by a join."""
-    runs = _anchors(texts, bits).join(repeated, "h")
+    runs = _anchors(texts, bits, chosen).join(repeated, "h")
     # a document has fewer runs than bytes
     by_doc = written(runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs")), "runs")
-    placed = bitmap.keep(texts, "mark", bitmap.build(by_doc, "mark")).join(by_doc, ["doc_id", "mark"])
+    placed = bitmap.keep(texts.drop("row"), "mark", bitmap.build(by_doc, "mark")).join(by_doc, ["doc_id", "mark"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()]
@@ -230,17 +242,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = same.where("doc_id > head").select("doc_id", "mark", F.lit(0).alias("start"), F.col("size").alias("stop"))
     # a copy that the bitmap lets through does no harm: it is removed whole in any case
     first = bitmap.build(heads.select(F.xxhash64("head", "mark").alias("row")), "row")
-    keyed = whole.select("doc_id", "mark", "text", F.xxhash64("doc_id", "mark").alias("row"))
-    texts = bitmap.keep(keyed, "row", first).drop("row")
-    counted = _anchors(texts, None).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    texts = whole.select("doc_id", "mark", "text", F.xxhash64("doc_id", "mark").alias("row"))
+    counted = _anchors(texts, None, first).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     repeated = written(counted, "anchors")
     bits = bitmap.build(repeated, "h")
     # While the bitmap tells well, contexts come straight from the texts. A fuller one would let too many through, and
     # a join of positions with texts moves less. Both give the same spans.
     if repeated.count() <= DIRECT_SHARE * (1 << bitmap.BITS):
-        contexts = _direct_contexts(texts, bits)
+        contexts = _direct_contexts(texts, bits, first)
     else:
-        contexts = _joined_contexts(texts, repeated, bits)
+        contexts = _joined_contexts(texts, repeated, bits, first)
     occurrences = written(contexts, "contexts")
     # a digest of the context stands for it, so that contexts themselves move once and only where they are compared
     key, place = ["c0", "c1"], ["doc_id", "mark", "first"]
