@@ -38,7 +38,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
-_AFTER_CUE = re.compile(r"[\s:#=.]{1,3}(?:(?:number|no|nr|num)[\s:#=.]{1,3})?")
+_AFTER_CUE = re.compile(r"[\s:#=.]{1,3}(?:(?:number|no|nr|num)[\s:#=.]{1,3})?", re.IGNORECASE)
 _SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"[0-9](?:[\x20-]?[0-9]){5,17}(?![0-9])")
@@ -66,6 +66,7 @@ def iban_valid(text: str) -> bool:
 
 
 def automaton() -> ahocorasick.Automaton:
+    """Anchors in lower case, for texts whose ASCII letters are in lower case."""
     found = ahocorasick.Automaton()
     found.add_word("@", ("at", 1))
     for d in "0123456789":
@@ -73,8 +74,7 @@ def automaton() -> ahocorasick.Automaton:
     for s in SCHEMES:
         found.add_word(s, ("scheme", len(s)))
     for cue in ACCOUNT_CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -97,7 +97,8 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
     """All finds of a text by start, then kind; offsets in code points, ends exclusive."""
     spans: list[Span] = []
     mail_end = zone_end = url_end = cue_end = 0
-    for last, (what, size) in anchors.iter(text):
+    # bytes know lower case of ASCII only, so all offsets stay
+    for last, (what, size) in anchors.iter(text.encode().lower().decode()):
         if what == "digit":
             if last >= zone_end:
                 zone_end = _ZONE.match(text, last).end()
@@ -113,7 +114,7 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
         elif what == "scheme":
             rest = _URL_REST.match(text, last + 1)
             start = last - size + 1
-            if rest and start >= url_end:
+            if rest and start >= url_end and text[start:last + 1] in SCHEMES:
                 url_end = rest.end() - (text[rest.end() - 1] in ".,;:!?")
                 spans.append(Span(start, "url", url_end))
         else:
