@@ -79,10 +79,16 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+def _byte(digits: str) -> bool:
+    """At most 255; Python refuses to convert very long numbers."""
+    bare = digits.lstrip("0")
+    return len(bare) <= 3 and int(bare or "0") <= 255
+
+
 def _zone_spans(text: str, at: int, end: int) -> Iterator[Span]:
     """Base finds that start with a digit or plus within one run of number characters."""
     for m in _IP.finditer(text, at, end):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(_byte(p) for p in m[0].split(".")):
             yield Span(m.start(), "ip", m.end())
     for m in _CARD.finditer(text, at, end):
         digits = re.sub("[^0-9]", "", m[0])

@@ -13,3 +13,11 @@ def test_cues_in_any_case():
                 assert pii.joined(pii.find_spans(text, anchors)) == f"ssn:{a}:{a + 11},account:{b}:{b + 8}"
     assert pii.masked_text("Social Security Number 123-45-6789, ACCOUNT NO. 12345678", anchors) == "Social Security Number <SSN>, ACCOUNT NO. <ACCOUNT>"
     assert pii.joined(pii.find_spans("HTTP://a.example http://b.example", anchors)) == "url:17:33"
+
+
+def test_dotted_numbers_of_any_length():
+    anchors, long = pii.automaton(), "1" * 5000
+    for text in (f"{long}.1.1.1", f"1.1.1.{long}", f"1.{long}.1.1"):
+        assert pii.find_spans(text, anchors) == []
+    found = pii.find_spans(f"{long}.1.1.1 x {'0' * 5000}.0.0.255 x 1.2.3.256 x 001.02.3.0255", anchors)
+    assert [(s.kind, s.end - s.start) for s in found] == [("ip", 5008), ("ip", 13)]
