@@ -15,7 +15,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no letters, or too small a share of them in one language. Null text has no letters."""
+    """Documents without a language go: no letters, or too small a share of them in learned languages, all taken together. Null text has no letters."""
     ship_package(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 

@@ -29,7 +29,7 @@ SWITCH_PENALTY = 12.0  # log-likelihood that a change of language must gain
 SMOOTHING = 0.5
 SCRIPT_SHARE = 0.01  # a language uses a script that at least so much of its sample's words are in
 SLICE = 2 << 20  # bytes of text labelled abreast
-MIN_SCORE = 0.4  # least share of letters in the predicted language for a document to stay in a filter
+MIN_SCORE = 0.4  # least share of letters in spans of learned languages, all of them together, for a document to stay in a filter
 REMEMBERED = 150_000  # words remembered in a task
 
 # First code points of script ranges (fixed values of Unicode), each up to the next; number of the script.
@@ -195,16 +195,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(model)  # 2^FEATURE_BITS rows, one column for each language
 
     def parts(batch: pa.RecordBatch, state: _Words) -> pa.Table:
-        return pa.Table.from_batches([_identify(part, state) for part in slices(batch, 1, SLICE)])
+        found = pa.Table.from_batches([_identify(part, state) for part in slices(batch, 1, SLICE)])
+        return found.select(["doc_id", "lang_pred", "score", "spans"])
 
     schema = "doc_id long, lang_pred string, score double, spans string"
     return arrow_map(id_and_text(docs, id_col, text_col), parts, schema, lambda: _Words(shared.value))
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose text has no language: ``und``, or a score below ``min_score``.
+    """``docs`` without the rows whose text has no language: ``und``, or a share of letters below ``min_score`` in spans of any learned language.
 
-    A row without ``lang`` gets the predicted one. All other columns pass through. A model of no languages rejects nothing.
+    Only letters in a script that some learned language uses count, as in the score of ``identify``; how they fall on languages does not matter. A row without ``lang`` gets the predicted one. All other columns pass through. A model of no languages rejects nothing.
     """
     if not model.languages:
         return docs
@@ -220,7 +221,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE,
             columns = list(part.columns)
             if lang is not None:
                 columns[lang] = pc.coalesce(columns[lang], found.column(1).cast(columns[lang].type))
-            good = pc.and_(pc.not_equal(found.column(1), "und"), pc.greater_equal(found.column(2), min_score))
+            good = pc.and_(pc.not_equal(found.column(1), "und"), pc.greater_equal(found.column("known"), min_score))
             out.append(pa.RecordBatch.from_arrays(columns, names=names).filter(good))
         return pa.Table.from_batches(out)
 
@@ -252,6 +253,7 @@ class _Words:
 
 
 def _identify(batch: pa.RecordBatch, state: _Words) -> pa.RecordBatch:
+    """The columns of ``identify`` and ``known``, the share of letters in spans of any learned language."""
     languages = state.model.languages
     texts = [words_of(t) if languages else [] for t in batch.column(1).to_pylist()]
     lengths = np.array([len(w) for w in texts], np.int64)
@@ -265,6 +267,7 @@ def _identify(batch: pa.RecordBatch, state: _Words) -> pa.RecordBatch:
     sure = np.bincount(doc * n + labels, letters * state.known[at], len(texts) * n).reshape(-1, n)
     best = by_lang.argmax(axis=1)
     share = sure[np.arange(len(texts)), best] / np.maximum(1, total)
+    known = sure.sum(axis=1) / np.maximum(1, total)
     names = [languages[b] if t else "und" for b, t in zip(best, total)]
     cut = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
     stops = np.append(cut[1:], len(doc)) if len(cut) else cut
@@ -274,4 +277,5 @@ def _identify(batch: pa.RecordBatch, state: _Words) -> pa.RecordBatch:
         d = doc[a]
         spans[d].append(f"{languages[labels[a]]}:{a - begins[d]}:{b - begins[d]}")
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(names), pa.array(share), pa.array([",".join(s) for s in spans])], ["doc_id", "lang_pred", "score", "spans"])
+        [batch.column(0), pa.array(names), pa.array(share), pa.array([",".join(s) for s in spans]), pa.array(known)],
+        ["doc_id", "lang_pred", "score", "spans", "known"])

@@ -1,6 +1,8 @@
 """Cases that the operators once lost."""
 
-from moltabula.llm import pii
+from moltabula.llm import langid, pii
+
+FOLDER = "/root/testdata/sf0.01"
 
 
 def test_cues_in_any_case():
@@ -21,3 +23,24 @@ def test_dotted_numbers_of_any_length():
         assert pii.find_spans(text, anchors) == []
     found = pii.find_spans(f"{long}.1.1.1 x {'0' * 5000}.0.0.255 x 1.2.3.256 x 001.02.3.0255", anchors)
     assert [(s.kind, s.end - s.start) for s in found] == [("ip", 5008), ("ip", 13)]
+
+
+def test_balanced_languages_stay(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = langid.fit(docs)
+    # of each language a run of words from a training text, cut to the same number of letters
+    best = docs.where(langid.training_rows(docs)).where("lang is not null and n_chars > 500").orderBy("doc_id").collect()
+    parts = {}
+    for r in best:
+        words, letters = [], 0
+        for w in langid.words_of(r.text):
+            if letters + len(w) <= 300:
+                words, letters = [*words, w], letters + len(w)
+        if r.lang not in parts and letters >= 295:
+            parts[r.lang] = " ".join(words)
+    langs = sorted(parts)[:4]
+    planted = [(1, " ".join(parts[x] for x in langs[:3]), None), (2, " ".join(parts[x] for x in langs), None), (3, "\u13a0\u13a1\u13a2 " * 50 + "the", None), (4, "1 2 3", None)]
+    rows = spark.createDataFrame(planted, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in langid.identify(rows, model).collect()}
+    assert found[1].score < langid.MIN_SCORE and len({s.split(":")[0] for s in found[1].spans.split(",")}) >= 3
+    assert {r.doc_id for r in langid.keep_identified(rows, model).collect()} == {1, 2}
