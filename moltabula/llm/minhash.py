@@ -134,12 +134,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def long_signatures(texts: DataFrame) -> DataFrame:
-    """``doc_id, l0 ...``: packed signatures of ``LONG`` minima."""
+    """``doc_id, l0 ...``: packed signatures of ``LONG`` minima, of each text that has shingles."""
 
     def run(batch: pa.RecordBatch, shingler: Shingler) -> pa.RecordBatch:
         sets = shingler.sets(batch.column(1).cast(pa.binary()).to_pylist())
-        sign = np.array([packed(minima(s, LONG)) for s in sets], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(sign[:, i]) for i in range(sign.shape[1])]], ["doc_id", *LONG_SIGNATURE])
+        filled = [i for i, s in enumerate(sets) if len(s)]
+        sign = np.array([packed(minima(sets[i], LONG)) for i in filled], np.uint64).reshape(-1, len(LONG_SIGNATURE)).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(filled, pa.int64())), *[pa.array(sign[:, i]) for i in range(sign.shape[1])]], ["doc_id", *LONG_SIGNATURE])
 
     schema = ", ".join(["doc_id long", *[f"{s} long" for s in LONG_SIGNATURE]])
     return arrow_map(texts, run, schema, Shingler)
@@ -189,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = written(at, "at")
     mixed = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     left_over = written(at.join(mixed, "band"), "left")
-    signs = long_signatures(texts.join(left_over.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    signs = long_signatures(texts.join(left_over.select("doc_id").distinct(), "doc_id", "left_semi")).distinct()  # an id may have several texts
     side = left_over.join(written(signs, "long"), "doc_id")
     left, right = (side.select("band", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "component", *LONG_SIGNATURE)]) for p in "ab")
     across = left.join(right, "band").where("a_component < b_component").where(may_be_similar("a_", "b_", LONG_SIGNATURE))
@@ -216,7 +217,7 @@ def _with_signs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets reach the threshold."""
+    """The pairs ``a, b`` of which some texts have full shingle sets that reach the threshold."""
     full = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b").select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +227,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep = []
                 last, held = None, None
                 for a, x, y in zip(*[batch.column(i).cast(pa.binary()).to_pylist() if i > 1 else batch.column(i).to_pylist() for i in (0, 2, 3)]):
-                    if a != last:
-                        last, held = a, shingler.sets([x])[0]
+                    if (a, x) != last:
+                        last, held = (a, x), shingler.sets([x])[0]
                     other = shingler.sets([y])[0]
                     both = len(np.intersect1d(held, other, assume_unique=True))
-                    keep.append(100 * both >= SIMILARITY_PERCENT * (len(held) + len(other) - both))
+                    keep.append(both > 0 and 100 * both >= SIMILARITY_PERCENT * (len(held) + len(other) - both))
                 yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return full.mapInArrow(run, "a long, b long").distinct()

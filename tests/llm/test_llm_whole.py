@@ -1,6 +1,10 @@
 """Cases that the operators once lost."""
 
-from moltabula.llm import langid, pii
+import random
+
+import numpy as np
+from moltabula.llm import langid, minhash, pii
+from test_llm_pairs import plain_components
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -44,3 +48,36 @@ def test_balanced_languages_stay(spark):
     found = {r.doc_id: r for r in langid.identify(rows, model).collect()}
     assert found[1].score < langid.MIN_SCORE and len({s.split(":")[0] for s in found[1].spans.split(",")}) >= 3
     assert {r.doc_id for r in langid.keep_identified(rows, model).collect()} == {1, 2}
+
+
+def test_every_text_of_an_id_is_compared(spark):
+    """Links of a repeated id to documents that are not the least of any bucket they share."""
+    rng, rows = random.Random(7), []
+    for i in range(5):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+
+        def changed(places):
+            return " ".join([f"c{rng.randrange(10**6)}" if j in places else w for j, w in enumerate(base)])
+        x, y = changed({20, 60}), changed({100, 140})
+        shingler = minhash.Shingler()
+        kx, ky = (set(minhash.bands(minhash.minima(shingler.sets([t.encode()])[0])).tolist()) for t in (x, y))
+        both, least = kx & ky, set()
+        while not both <= least:  # smaller ids in each bucket that the two share, themselves linked with neither
+            text = changed(set(rng.sample([j for j in range(5, 195) if j not in (20, 60, 100, 140)], 9)))
+            keys = set(minhash.bands(minhash.minima(shingler.sets([text.encode()])[0])).tolist())
+            if keys & both - least:
+                least |= keys
+                rows.append((len(rows) + 1, text))
+        rows += [(5000, x), (6000 + i, y)]
+    rows += [(5000, ""), (6000, " "), (7000, ""), (7000, "alone in the world it was then")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, minhash.near_duplicates(df).collect()))
+    assert {c for i, n, c, _ in got if 5000 <= i < 6999 and n} == {5000}
+    assert got == sorted(plain_components(rows).elements())
+
+
+def test_confirmed_reads_every_text_of_an_id(spark):
+    a, b = ("one two three four five six", "red green blue black white grey")
+    texts = spark.createDataFrame([(1, a), (1, b), (1, ""), (2, b), (3, a), (4, ""), (4, "far away from it all")], "doc_id long, text string").coalesce(1)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long").coalesce(1)
+    assert sorted(map(tuple, minhash.confirmed(pairs, texts).collect())) == [(1, 2), (1, 3)]
