@@ -72,7 +72,8 @@ class Bpe:
         self.alphabet = byte_alphabet()
         self.plain, self.split = (_WORD_PLAIN, _WORD_SPLIT) if self.words else (_BYTE_PLAIN, _BYTE_SPLIT)
         self.leaf, self.window = leaf, window
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by chunk as it stands in the text
+        self.mapped: dict[str, bytes] = {}  # by piece in the byte alphabet, which may look like another chunk
         back = {c: b for b, c in enumerate(self.alphabet)}
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
         self.token_bytes: list[bytes] = [b""] * self.vocab_size
@@ -147,8 +148,9 @@ class Bpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        for memory in (self.known, self.mapped):
+            if len(memory) > REMEMBERED:
+                memory.clear()
         split = [self._chunks(t) for t in texts]
         self._learn(list(set().union(*[c for c in split if c]).difference(self.known)))
         known = self.known
@@ -167,9 +169,9 @@ class Bpe:
                 parts.append(np.array([self.library.token_to_id(span)], np.uint32).tobytes())
                 continue
             for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(span):
-                if piece not in self.known:
-                    self.known[piece] = np.array(self.tree(piece), np.uint32).tobytes()
-                parts.append(self.known[piece])
+                if piece not in self.mapped:
+                    self.mapped[piece] = np.array(self.tree(piece), np.uint32).tobytes()
+                parts.append(self.mapped[piece])
         return b"".join(parts)
 
     def _special_spans(self, text: str) -> list[tuple[str, bool]]:

@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from moltabula.llm import langid, minhash, pii
+from moltabula.llm import bpe, langid, minhash, pii
 from test_llm_pairs import plain_components
 
 FOLDER = "/root/testdata/sf0.01"
@@ -81,3 +81,14 @@ def test_confirmed_reads_every_text_of_an_id(spark):
     texts = spark.createDataFrame([(1, a), (1, b), (1, ""), (2, b), (3, a), (4, ""), (4, "far away from it all")], "doc_id long, text string").coalesce(1)
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long").coalesce(1)
     assert sorted(map(tuple, minhash.confirmed(pairs, texts).collect())) == [(1, 2), (1, 3)]
+
+
+def test_ids_do_not_depend_on_other_texts():
+    mojibake = "CafÃ© is here"
+    unusual = "(Café)\nCafé " + "\u0e01 b " * 900
+    want = None
+    for order in ([[mojibake, unusual]], [[unusual, mojibake]], [[mojibake], [unusual]], [[unusual], [mojibake]]):
+        encoder = bpe.Bpe(bpe.default_path("byte_bpe_50k.json"))
+        got = {t: np.frombuffer(raw, np.uint32).tolist() for texts in order for t, raw in zip(texts, encoder.encode_batch(texts))}
+        want = want or {t: encoder.library.encode(t, add_special_tokens=False).ids for t in got}
+        assert got == want
