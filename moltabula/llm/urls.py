@@ -1,7 +1,7 @@
 """URL rules by a sort-merge range join.
 
 A host with its labels reversed (``net.example.blog.``) turns "this host and all below it" into an interval of
-keys, ``[net.example., net.example.\\uffff)``. Pages and rules go to the same ranges of keys and are sorted
+keys, ``[net.example., net.example/)``: no host holds a slash, and it follows the dot. Pages and rules go to the same ranges of keys and are sorted
 together; one sweep keeps a stack of the rules whose interval is open. Intervals nest, so a page's candidates
 are just the stack, and the longest whose path fits decides.
 
@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         F.max(F.coalesce("verdict", F.lit(default))).alias("verdict"))
     ruled = ruled.withColumn("key", reversed_host(F.col("host")))
     opened = (
-        ruled.withColumn("range", F.explode(_ranges(cuts, F.col("key"), F.concat("key", F.lit("￿")))))
+        ruled.withColumn("range", F.explode(_ranges(cuts, F.col("key"), F.concat(F.expr("substr(key, 1, length(key) - 1)"), F.lit("/")))))
         .select("range", "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
     )
     together = placed.unionByName(opened).repartition(n_ranges, "range").sortWithinPartitions("range", "key", "kind")
@@ -117,21 +118,23 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 def _cut_points(heads: DataFrame, n_ranges: int) -> list[str]:
     """Up to ``n_ranges - 1`` host keys at about even numbers of pages; a busy host appears several times.
 
-    Each task reduces its hosts to ``n_ranges`` quantiles with weights, so the driver gets a list bounded by 64 tasks
-    times ``n_ranges``, whatever the number of hosts.
+    Each of ``n_ranges`` tasks reduces its hosts to at most 64 quantiles with weights, from a start of its own so that their
+    errors even out; the driver gets a list bounded by 64 times ``n_ranges``, whatever the number of hosts.
     """
+    marks_each = min(64, n_ranges)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        total, seen, last, marks = sum(n for _, n in rows), 0, 0, []
+        step = max(1, -(-sum(n for _, n in rows) // marks_each))
+        seen, marks = TaskContext.get().partitionId() * 0x9E3779B1 % step, []
         for key, n in rows:
+            passed = (seen + n) // step - seen // step
             seen += n
-            if (seen - last) * n_ranges >= total:
-                marks.append((key, seen - last))
-                last = seen
+            if passed:
+                marks.append((key, passed * step))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in marks], pa.string()), pa.array([n for _, n in marks], pa.int64())], ["key", "n"])
 
-    spread = heads.select("key", "n").repartition(min(64, n_ranges), "key")
+    spread = heads.select("key", "n").repartition(n_ranges, "key")
     marks = sorted((r["key"], r["n"]) for r in spread.mapInArrow(local, "key string, n long").collect())
     total, seen, cuts = sum(n for _, n in marks), 0, []
     for key, n in marks:

@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from moltabula.llm import bpe, langid, minhash, pii
+from moltabula.llm import bpe, langid, minhash, pii, urls
 from test_llm_pairs import plain_components
 
 FOLDER = "/root/testdata/sf0.01"
@@ -92,3 +92,19 @@ def test_ids_do_not_depend_on_other_texts():
         got = {t: np.frombuffer(raw, np.uint32).tolist() for texts in order for t, raw in zip(texts, encoder.encode_batch(texts))}
         want = want or {t: encoder.library.encode(t, add_special_tokens=False).ids for t in got}
         assert got == want
+
+
+def test_rules_reach_hosts_beyond_the_basic_plane(spark):
+    pages = [(i, f"http://\U0001f600{i % 3}.net/x") for i in range(300)] + [(1000 + i, f"http://a{i}.org/x") for i in range(50)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    rows = urls.judge(df, urls.rule_table(spark, [urls.Rule("block", "net", "/")]), n_ranges=7).collect()
+    assert {(r.page_id < 1000, r.verdict) for r in rows} == {(True, "block"), (False, "allow")} and len(rows) == 350
+
+
+def test_cut_points_are_even(spark):
+    heads = spark.range(20_000).selectExpr("concat('h', lpad(id, 5, '0'), '.') key", "1L n")
+    for n in (7, 100):
+        cuts = urls._cut_points(heads, n)
+        assert cuts == sorted(cuts) and len(cuts) in (n - 1, n - 2)
+        sizes = np.diff([0, *[int(c[1:6]) for c in cuts], 20_000])
+        assert sizes.max() < 2.5 * 20_000 / n
