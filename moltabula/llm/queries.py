@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltabula.llm import bpe, exact, langid, minhash, packing, pii, substrings, tokenfiles, topk, urls
+from moltabula.llm import bpe, centroids, conversations, decontaminate, exact, langid, minhash, packing, pii, substrings, tokenfiles, topk, urls
 from moltabula.llm.common import table
 
 URL_RULES = [
@@ -60,4 +60,18 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_exact_dedup, op4_pii, op5_top_k, op6_token_files, op7_packing, op8_minhash, op9_repeated_strings, op10_url_filter)}
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+def op13_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("runs")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_bpe, op3_exact_dedup, op4_pii, op5_top_k, op6_token_files, op7_packing, op8_minhash, op9_repeated_strings, op10_url_filter,
+    op11_conversation_trie, op12_centroids, op13_decontaminate)}
