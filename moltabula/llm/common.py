@@ -22,6 +22,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores in front as make it differ from all columns of a table, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch], schema: str,
               prepare: Callable[[], object] | None = None) -> DataFrame:
     """``mapInArrow`` of a function on one batch; ``prepare`` runs once in a task and its result is the second argument."""

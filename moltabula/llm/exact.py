@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moltabula.llm.common import arrow_map, id_and_text
+from moltabula.llm.common import arrow_map, fresh, id_and_text
 from moltabula.scratch import written
 
 CHUNK = 1 << 16  # bytes of a chunk
@@ -133,6 +133,7 @@ def groups_from(rows: DataFrame, unlike: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` marks as copies; all columns and other rows pass through."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    name, print_ = fresh("kept_id", docs), fresh("kept_sha256", docs)
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(print_)).distinct()
     own = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (own == F.col("_sha")), "left_semi")
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)) & (own == F.col(print_)), "left_semi")

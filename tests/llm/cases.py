@@ -1,6 +1,6 @@
 """Awkward documents that every operator has to take."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, size int, component string, spans string, rank int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, size int, component string, spans string, rank int, _id long, _sha string, kept_id int, KEPT_SHA256 string"
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven small birds sing in old trees near our house".split()
 
@@ -24,9 +24,9 @@ def documents() -> list[tuple]:
         18: sentence(1, 40) + " " + sentence(2, 60), 19: sentence(3, 40) + " " + sentence(2, 60), 20: sentence(2, 60) + sentence(2, 60),
         21: "card 4111 1111 1111 1111 and 10.0.0.255, 300.1.1.1 <|endoftext|> a@b@c.de <|startoftext|>", 22: "ab" * 400,
     }
-    rows = [(i, t, "en" if i % 3 else None, "s", len(t) if t else None, 1, 2, "c", "x", 3) for i, t in texts.items()]
-    rows.append((None, sentence(8, 30), None, None, None, None, None, None, None, None))
-    rows.append((None, near, "en", None, 5, None, None, None, None, None))
+    rows = [(i, t, "en" if i % 3 else None, "s", len(t) if t else None, 1, 2, "c", "x", 3, 4, "y", 5, "z") for i, t in texts.items()]
+    rows.append((None, sentence(8, 30), *[None] * 12))
+    rows.append((None, near, "en", None, 5, *[None] * 9))
     rows.append(rows[7])  # the same row again
-    rows.append((12, "another text under a known number", "en", "s", 3, 1, 2, "c", "x", 3))
+    rows.append((12, "another text under a known number", "en", "s", 3, 1, 2, "c", "x", 3, 4, "y", 5, "z"))
     return rows
