@@ -6,13 +6,13 @@ similarity by counting equal bits, corrected for bits that agree by chance; what
 on the full sets.
 
 Within a bucket of a band each document first meets only the least one. Confirmed links give components, and afterwards
-only documents of different components meet, so a bucket full of near copies never makes all its pairs, and none that could join two components is left out.
-These get signatures of ``LONG`` minima, so that few pairs below the threshold remain to be read in full.
+only documents of different components meet, in cells of bounded size that return a forest of links (``crowds``). These get signatures of ``LONG`` minima, so that
+few pairs below the threshold remain to be compared in full. No pair that could join two components is left out, and no table of pairs is made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moltabula.llm.common import arrow_map, id_and_text, mix64, slices
+from moltabula.llm.common import arrow_map, fresh, id_and_text, mix64, slices
 from moltabula.llm.components import components
+from moltabula.llm.crowds import alike, deal, links, overlapping
 from moltabula.scratch import written
 
 SHINGLE = 5
@@ -34,6 +35,8 @@ BITS = 2  # low bits kept of each minimum
 LONG = 1024  # minima in the signatures of documents that are left
 SLACK = 5.0  # standard deviations by which the estimate may fall short
 REMEMBERED = 250_000
+CELL_ROWS = 2048  # signatures on each side of a cell
+CELL_MEMBERS = 1 << 20  # members of all sets on each side of a cell
 
 _SEEDS = mix64(np.arange(1, 2 * LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = (_SEEDS[:LONG] | np.uint64(1)).astype(np.uint32)
@@ -104,7 +107,6 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 N_WORDS = HASHES * BITS // 64
 SIGNATURE = [f"s{i}" for i in range(N_WORDS)]
-LONG_SIGNATURE = [f"l{i}" for i in range(LONG * BITS // 64)]
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,30 +136,38 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def long_signatures(texts: DataFrame) -> DataFrame:
-    """``doc_id, l0 ...``: packed signatures of ``LONG`` minima, of each text that has shingles."""
+    """``doc_id, sign, members``: packed signature of ``LONG`` minima and the sorted set, as bytes, of each text that has shingles."""
 
     def run(batch: pa.RecordBatch, shingler: Shingler) -> pa.RecordBatch:
         sets = shingler.sets(batch.column(1).cast(pa.binary()).to_pylist())
         filled = [i for i, s in enumerate(sets) if len(s)]
-        sign = np.array([packed(minima(sets[i], LONG)) for i in filled], np.uint64).reshape(-1, len(LONG_SIGNATURE)).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(filled, pa.int64())), *[pa.array(sign[:, i]) for i in range(sign.shape[1])]], ["doc_id", *LONG_SIGNATURE])
+        columns = [[packed(minima(sets[i], LONG)).tobytes() for i in filled], [sets[i].tobytes() for i in filled]]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(filled, pa.int64())), *[pa.array(c, pa.binary()) for c in columns]], ["doc_id", "sign", "members"])
 
-    schema = ", ".join(["doc_id long", *[f"{s} long" for s in LONG_SIGNATURE]])
-    return arrow_map(texts, run, schema, Shingler)
+    def parts(batch: pa.RecordBatch, shingler: Shingler) -> pa.Table:
+        return pa.Table.from_batches([run(part, shingler) for part in slices(batch, 1)])
+
+    return arrow_map(texts, parts, "doc_id long, sign binary, members binary", Shingler)
 
 
-def may_be_similar(left: str, right: str, columns: list[str] = SIGNATURE) -> Column:
+def most_different(hashes: int) -> int:
+    """How many of ``hashes`` minima may differ in their low bits, so that the estimate reaches the threshold less the slack."""
+    chance = 2.0 ** -BITS
+    equal = chance + (1 - chance) * SIMILARITY_PERCENT / 100
+    return int(hashes * (1 - equal + SLACK * (equal * (1 - equal) / hashes) ** 0.5))
+
+
+def may_be_similar(left: str, right: str) -> Column:
     """Equal low bits of two signatures reach what the threshold leads to, less the slack."""
     odd = int("01" * 32, 2)
-    hashes = len(columns) * 64 // BITS
     differ = []
-    for s in columns:
+    for s in SIGNATURE:
         z = F.col(f"{left}{s}").bitwiseXOR(F.col(f"{right}{s}"))
         differ.append(F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(odd))))
-    chance = 2.0 ** -BITS
-    equal = chance + (1 - chance) * SIMILARITY_PERCENT / 100
-    least = equal - SLACK * (equal * (1 - equal) / hashes) ** 0.5
-    return reduce(add, differ) <= int(hashes * (1 - least))
+    return reduce(add, differ) <= most_different(HASHES)
+
+
+MOST_DIFFERENT = most_different(LONG)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,13 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = written(at, "at")
     mixed = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     left_over = written(at.join(mixed, "band"), "left")
-    signs = long_signatures(texts.join(left_over.select("doc_id").distinct(), "doc_id", "left_semi")).distinct()  # an id may have several texts
-    side = left_over.join(written(signs, "long"), "doc_id")
-    left, right = (side.select("band", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "component", *LONG_SIGNATURE)]) for p in "ab")
-    across = left.join(right, "band").where("a_component < b_component").where(may_be_similar("a_", "b_", LONG_SIGNATURE))
-    across = across.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
-    across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
-    more = [confirmed(across, texts)]
+    signs = written(long_signatures(texts.join(left_over.select("doc_id").distinct(), "doc_id", "left_semi")).distinct(), "long")  # an id may have several texts
+    more = [across_components(left_over, signs)]
     own = written(rows.select("doc_id", *keys).join(heads.select(*keys, F.col("doc_id").alias("head")), keys, "left"), "own")
     # an id with several texts is one node, so it links their classes
     several = own.where("head is not null").groupBy("doc_id").agg(F.min("head").alias("a"), F.max("head").alias("z")).where("a < z")
@@ -210,6 +215,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def across_components(entries: DataFrame, signs: DataFrame) -> DataFrame:
+    """``a, b``: confirmed links that join different components of ``band, doc_id, component``, from the signatures and sets of ``signs``.
+
+    Bit counts first show which components may belong together, as a forest for each bucket; all that hang together form a crowd. A crowd's rows then meet once, in cells, whatever
+    number of buckets they share, with their full sets.
+    """
+    cells = deal(entries.withColumn("mass", F.lit(1)), "band", CELL_ROWS)
+    maybe = links(cells.join(signs.select("doc_id", "sign"), "doc_id"), "band", ["sign"], lambda t: alike(_long(t), MOST_DIFFERENT))
+    maybe = written(maybe.selectExpr("a_component as a", "b_component as b").distinct(), "maybe")
+    crowds = components(maybe).toDF("component", "crowd")
+    members = entries.select("doc_id", "component").distinct().join(crowds, "component")
+    sized = members.join(signs.groupBy("doc_id").agg(F.sum(F.octet_length("members") / 8 + 1).alias("mass")), "doc_id")
+    cells = deal(written(sized.select("crowd", "doc_id", "component", "mass"), "crowds"), "crowd", CELL_MEMBERS)
+
+    def judge(t: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+        near, full = alike(_long(t), MOST_DIFFERENT), overlapping([np.frombuffer(m, np.uint64) for m in t["members"].to_pylist()], SIMILARITY_PERCENT)
+
+        def partners(i: int, other: np.ndarray) -> np.ndarray:
+            other = near(i, other)
+            return full(i, other) if len(other) else other
+
+        return partners
+
+    found = links(cells.join(signs, "doc_id"), "crowd", ["sign", "members"], judge)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _long(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+
+
 def _with_signs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     for side in "ab":
         pairs = pairs.join(signs.select(F.col("doc_id").alias(side), *[F.col(s).alias(f"{side}_{s}") for s in SIGNATURE]), side)
@@ -239,5 +275,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component; all columns and rows without id pass through."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    name = fresh("kept_id", docs)
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")

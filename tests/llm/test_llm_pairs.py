@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from cases import documents, sentence
-from moltabula.llm import bitmap, components, exact, minhash, substrings, suffixes, topk
+from moltabula.llm import bitmap, components, crowds, exact, minhash, substrings, suffixes, topk
 from pyspark.sql import functions as F
 
 
@@ -101,6 +101,57 @@ def test_near_duplicate_chains_and_crowds(spark):
     assert Counter(map(tuple, got)) == plain_components(rows)
 
 
+@pytest.mark.parametrize("rows_, members", [(minhash.CELL_ROWS, minhash.CELL_MEMBERS), (40, 6000)])
+def test_crowd_around_the_threshold(spark, rows_, members, monkeypatch):
+    """Several hundred texts at 0.5 to 0.8 of each other, in one cell and in many."""
+    monkeypatch.setattr(minhash, "CELL_ROWS", rows_)
+    monkeypatch.setattr(minhash, "CELL_MEMBERS", members)
+    rng, rows = random.Random(11), []
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(160)]
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            words[rng.randrange(len(words))] = f"c{rng.randrange(10 ** 6)}"
+        rows.append((1000 - i, " ".join(words)))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    want = plain_components(rows)
+    assert 20 < len({r[2] for r in want}) < 290
+    assert Counter(map(tuple, found.collect())) == want
+
+
+def test_cells_hold_all_pairs_of_components(spark):
+    rng = random.Random(2)
+    rows = [(g, i, rng.choice([0, 0, 0, 0, 1, 2, 3 + i]), 1 + i % 3) for g in range(3) for i in range(60)]
+    cells = crowds.deal(spark.createDataFrame(rows, "band long, doc_id long, component long, mass int"), "band", 10.0).collect()
+    together = defaultdict(list)
+    for r in cells:
+        together[(r.band, r.cell_a, r.cell_b)].append(r)
+    met = set()
+    for (band, a, b), group in together.items():
+        assert sum(1 + r.doc_id % 3 for r in group) < 60
+        met |= {(band, min(x.doc_id, y.doc_id), max(x.doc_id, y.doc_id)) for x in group for y in group if x.component != y.component and (a == b or x.side != y.side)}
+    assert met == {(g, min(i, j), max(i, j)) for g, i, c, _ in rows for h, j, d, _ in rows if g == h and c != d}
+
+
+def test_forest_joins_what_is_linked():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(1, 9))).astype(np.uint64) for _ in range(80)]
+    for sides in (np.zeros(80, int), rng.integers(0, 2, 80)):
+        start = rng.integers(0, 40, 80)
+        found = crowds.forest(start, sides, crowds.overlapping(sets, 75))
+        linked = [(i, j) for i in range(80) for j in range(i) if (sides[i] != sides[j] or not sides.any())
+                  and 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))]
+
+        def joined(pairs):
+            label = start.copy()
+            for i, j in pairs:
+                label[label == label[i]] = label[j]
+            return [int(np.flatnonzero(label == x)[0]) for x in label]
+
+        assert set(found) | {(j, i) for i, j in found} <= set(linked) | {(j, i) for i, j in linked}
+        assert joined(found) == joined(linked) and len(found) < len(set(start))
+
+
 def test_estimate_follows_similarity(spark):
     rng = np.random.default_rng(3)
     for share in (0.3, 0.75, 0.95):
