@@ -16,12 +16,14 @@ tokens alone. So the result is exact, not approximate.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -30,7 +32,9 @@ from moltabula.llm.common import arrow_map, id_and_text, slices
 
 LEAF = 2048  # characters of a leaf of the tree
 WINDOW = 8  # tokens on each side of a seam at first
-REMEMBERED = 250_000  # chunks remembered in a worker
+REMEMBERED = 600_000  # chunks remembered in a worker
+SLICE = 4 << 20  # bytes of text that are encoded together
+GROUP = 256  # short pieces in one call of the library
 
 # Characters whose class and case are the same in every Unicode version; texts with others go to the library whole.
 _BYTE_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſЀ-џ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣]*")
@@ -40,7 +44,15 @@ _BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p
 _WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
-_PADDED = re.compile(r"\s\s|[\t\r]|^\s|\s$")
+_SPACE = frozenset(" \n\t\r")
+_PAIRS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+# Marks between a letter and white space are a piece of their own, so words are remembered without them.
+_CLOSED = r"(\pL)([.,;:!?]+)(\s|$)"
+
+
+def _padded(text: str) -> bool:
+    """White space other than single spaces and line breaks between words, in a text that has no other kinds of it than these, tabs and returns."""
+    return text[:1] in _SPACE or text[-1:] in _SPACE or any(p in text for p in _PAIRS)
 
 
 def byte_alphabet() -> list[str]:
@@ -69,6 +81,7 @@ class Bpe:
         self.special = [t["content"] for t in spec["added_tokens"]]
         bare = dict(spec, normalizer=None, pre_tokenizer=None, post_processor=None, decoder=None, added_tokens=[])
         self.bare = Tokenizer.from_str(json.dumps(bare))
+        self.apart = Tokenizer.from_str(json.dumps(dict(bare, pre_tokenizer={"type": "WhitespaceSplit"})))
         self.alphabet = byte_alphabet()
         self.plain, self.split = (_WORD_PLAIN, _WORD_SPLIT) if self.words else (_BYTE_PLAIN, _BYTE_SPLIT)
         self.leaf, self.window = leaf, window
@@ -121,43 +134,92 @@ class Bpe:
             level = joined + level[len(joined) * 2:]
         return level[0] if level else []
 
+    def _many(self, mapped: list[str]) -> list[bytes]:
+        """Ids of pieces in the byte alphabet; side by side in one string they cost the library less than alone."""
+        out: list[bytes] = []
+        groups = [mapped[i:i + GROUP] for i in range(0, len(mapped), GROUP)]
+        for group, found in zip(groups, self.apart.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32).tobytes()
+            cuts = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(group) + 1))).tolist()
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _pieces(self, chunk: str) -> list[str]:
+        # a run of letters, with one space before it in a byte-level file, is one piece of either pattern
+        if chunk.isalpha() or (not self.words and chunk[:1] == " " and chunk[1:].isalpha()):
+            return [chunk]
+        return self.split.findall(chunk)
+
     def _learn(self, chunks: list[str]) -> None:
         """Remember the ids of chunks, each a run of pieces between two white spaces."""
-        pieces = [self.split.findall(c) for c in chunks]
+        pieces = [self._pieces(c) for c in chunks]
         new = list(set().union(*pieces)) if pieces else []
         short = [p for p in new if self.words or len(p) * 4 <= self.leaf]
-        ids = dict(zip(short, self._bare_ids([self._mapped(p) for p in short])))
-        for piece in set(new).difference(short):
-            ids[piece] = self.tree(self._mapped(piece))
-        for chunk, parts in zip(chunks, pieces):
-            self.known[chunk] = array("I", ids[parts[0]] if len(parts) == 1 else [i for p in parts for i in ids[p]]).tobytes()
+        ids = dict(zip(short, self._many([p if p.isascii() and p.isalpha() else self._mapped(p) for p in short])))
+        if len(short) < len(new):
+            ids.update({p: np.array(self.tree(self._mapped(p)), np.uint32).tobytes() for p in set(new).difference(short)})
+        self.known.update({c: ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts]) for c, parts in zip(chunks, pieces)})
 
     # -- whole texts -------------------------------------------------------------------------
 
-    def _chunks(self, text: str) -> list[str] | None:
-        """Chunks that encode on their own, or None for a text that the library has to split.
+    def _is_plain(self, text: str) -> bool:
+        """Whether a text may be cut into chunks here; others the library has to split."""
+        return self.plain.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _chunks(self, texts: list[str]) -> pa.ListArray:
+        """Chunks that encode on their own.
 
         A piece never goes on across white space after another character, so a text falls into chunks of
         leading white space and what follows.
         """
-        if self.plain.fullmatch(text) is None or any(s in text for s in self.special):
-            return None
         if self.words:
-            return text.lower().split()
-        return _CHUNK.findall(text) if _PADDED.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            column = pc.replace_substring_regex(pc.utf8_lower(pa.array(texts, pa.string())), _CLOSED, r"\1 \2\3")
+            return pc.utf8_split_whitespace(column)
+        padded = [i for i, t in enumerate(texts) if _padded(t)]
+        column = pc.replace_substring_regex(pa.array(texts, pa.string()), _CLOSED, "\\1\0\\2\\3")
+        for mark in " \n":
+            column = pc.replace_substring(column, mark, f"\0{mark}")
+        if not padded:
+            return pc.split_pattern(column, "\0")
+        # repeated white space belongs to one chunk; such texts are cut here, the others by the library of arrays
+        cut = pa.array([_CHUNK.findall(texts[i]) for i in padded], pa.list_(pa.string()))
+        where = np.arange(len(texts))
+        where[padded] = len(texts) + np.arange(len(padded))
+        return pa.concat_arrays([pc.split_pattern(column, "\0"), cut]).take(pa.array(where))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         for memory in (self.known, self.mapped):
             if len(memory) > REMEMBERED:
-                memory.clear()
-        split = [self._chunks(t) for t in texts]
-        self._learn(list(set().union(*[c for c in split if c]).difference(self.known)))
-        known = self.known
-        return [
-            self._library_or_parts(text) if chunks is None else b"".join([known[c] for c in chunks])
-            for text, chunks in zip(texts, split)
-        ]
+                for key in list(itertools.islice(memory, len(memory) // 2)):
+                    del memory[key]
+        plain = [i for i, t in enumerate(texts) if self._is_plain(t)]
+        out = [b""] * len(texts)
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = self._library_or_parts(texts[i])
+        if plain:
+            for i, ids in zip(plain, self._encode_plain([texts[i] for i in plain])):
+                out[i] = ids
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Each distinct chunk of the texts is looked up once, and ids are gathered by position."""
+        chunks = self._chunks(texts)
+        codes = chunks.flatten().dictionary_encode()
+        distinct = codes.dictionary.to_pylist()
+        found = list(map(self.known.get, distinct))
+        missing = [i for i, f in enumerate(found) if f is None]
+        self._learn([distinct[i] for i in missing])
+        for i in missing:
+            found[i] = self.known[distinct[i]]
+        table = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = codes.indices.to_numpy()
+        starts, lengths = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = table[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+        edges = ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
     def _library_or_parts(self, text: str) -> bytes:
         """The library for texts with unusual characters; its long unsplit pieces still go through the tree."""
@@ -227,7 +289,7 @@ def decode_documents(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_c
 
 def _map_texts(docs: DataFrame, id_col: str, text_col: str, run, schema: str, path: str) -> DataFrame:
     def parts(batch: pa.RecordBatch, bpe: Bpe) -> pa.Table:
-        return pa.Table.from_batches([run(part, bpe) for part in slices(batch, 1)])
+        return pa.Table.from_batches([run(part, bpe) for part in slices(batch, 1, SLICE)])
 
     return arrow_map(id_and_text(docs, id_col, text_col), parts, schema, lambda: load(path))
 
