@@ -160,7 +160,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PEN
     if not len(alive):
         return out
     best = scores[starts[:alive[0]]].copy()
-    came: list[tuple[np.ndarray, np.ndarray]] = []
+    own = np.arange(scores.shape[1], dtype=np.uint8 if scores.shape[1] <= 256 else np.int32)
+    came = np.empty(scores.shape, own.dtype)  # for each word and language, the language of the word before
     ends = {}
     for t in range(1, len(alive)):
         n = alive[t]
@@ -170,7 +171,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PEN
         top = np.argmax(best, axis=1)
         reach = best[np.arange(n), top] - penalty
         moved = reach[:, None] > best
-        came.append((moved, top))
+        came[starts[:n] + t] = np.where(moved, top[:, None], own)
         best = np.where(moved, reach[:, None], best) + scores[starts[:n] + t]
         best -= best.max(axis=1, keepdims=True)
     state = np.argmax(best, axis=1)
@@ -179,8 +180,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PEN
             state = np.concatenate([state, ends[t]])
         out[starts[:alive[t]] + t] = state
         if t:
-            moved, top = came[t - 1]
-            state = np.where(moved[np.arange(len(state)), state], top, state)
+            state = came[starts[:alive[t]] + t, state]
     return out
 
 
