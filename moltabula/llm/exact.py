@@ -15,10 +15,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moltabula.llm.common import arrow_map, fresh, id_and_text
+from moltabula.llm import bitmap
+from moltabula.llm.common import arrow_map, fresh, id_and_text, slices
 from moltabula.scratch import written
 
 CHUNK = 1 << 16  # bytes of a chunk
@@ -81,23 +84,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             [batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shas)],
             ["doc_id", "print", "n_bytes", "text_sha256"])
 
-    return arrow_map(id_and_text(docs, id_col, text_col), run, "doc_id long, print binary, n_bytes long, text_sha256 string")
+    def parts(batch: pa.RecordBatch) -> pa.Table:
+        return pa.Table.from_batches([run(part) for part in slices(batch, 1)])
 
+    return arrow_map(id_and_text(docs, id_col, text_col), parts, "doc_id long, print binary, n_bytes long, text_sha256 string")
 
-def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``print, n_bytes, chunk_no, chunk`` of every normalised text."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            data = normalised(text)
-            mark = fingerprint(data)
-            rows += [(mark, len(data), i // CHUNK, data[i:i + CHUNK]) for i in range(0, len(data), CHUNK)]
+def print_hash(mark: bytes) -> int:
+    """Spark's ``xxhash64`` of a fingerprint, unsigned."""
+    return xxhash.xxh64_intdigest(mark, seed=42)
+
+
+def _chunks(docs: DataFrame, repeated: Broadcast, id_col: str, text_col: str) -> DataFrame:
+    """``print, n_bytes, chunk_no, chunk`` of the normalised texts whose fingerprint may be in the bitmap ``repeated``."""
+
+    def run(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+        texts = [normalised(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        marks = [fingerprint(t) for t in texts]
+        held = bitmap.holds(bits, np.array([print_hash(m) for m in marks], np.uint64).view(np.int64))
+        rows = [(m, len(t), i // CHUNK, t[i:i + CHUNK]) for m, t, h in zip(marks, texts, held.tolist()) if h for i in range(0, len(t), CHUNK)]
         columns = list(zip(*rows)) or [[], [], [], []]
         kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["print", "n_bytes", "chunk_no", "chunk"])
 
-    return arrow_map(id_and_text(docs, id_col, text_col), run, "print binary, n_bytes long, chunk_no int, chunk binary")
+    def parts(batch: pa.RecordBatch, bits: np.ndarray) -> pa.Table:
+        return pa.Table.from_batches([run(part, bits) for part in slices(batch, 1)])
+
+    return arrow_map(id_and_text(docs, id_col, text_col), parts, "print binary, n_bytes long, chunk_no int, chunk binary", lambda: repeated.value)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,9 +124,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = written(fingerprints(docs, id_col, text_col), "prints")
     groups = rows.groupBy("print", "n_bytes").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = groups.where("_n > 1").select("print", "n_bytes")
+    repeated = written(groups.where("_n > 1").select("print", "n_bytes"), "repeated")
+    held = bitmap.build(repeated.select(F.xxhash64("print").alias("h")), "h")  # chunks of other texts need not move
     compared = (
-        _chunks(docs, id_col, text_col).join(repeated, ["print", "n_bytes"])
+        _chunks(docs, held, id_col, text_col).join(repeated, ["print", "n_bytes"])
         .groupBy("print", "n_bytes", "chunk_no").agg(F.min("chunk").alias("_low"), F.max("chunk").alias("_high"))
     )
     unlike = compared.where("_low <> _high").select("print", "n_bytes").distinct().withColumn("_unlike", F.lit(True))

@@ -50,6 +50,12 @@ def test_exact_groups(spark, docs, none):
     assert {norm(r.text) for r in kept.collect()} == {norm(r[1]) for r in documents()}
 
 
+def test_print_hash_is_that_of_spark(spark):
+    marks = [exact.fingerprint(t.encode()) for t in ("", "a", "b" * 100_000)]
+    rows = spark.createDataFrame([(m,) for m in marks], "m binary").select("m", F.xxhash64("m").alias("h")).collect()
+    assert {bytes(r.m): r.h & (1 << 64) - 1 for r in rows} == {m: exact.print_hash(m) for m in marks}
+
+
 def test_unequal_texts_behind_one_fingerprint_part(spark):
     rows = spark.createDataFrame([(1, b"x", 3, "aa"), (2, b"x", 3, "bb"), (3, b"x", 3, "aa"), (4, b"y", 3, "cc")], "doc_id long, print binary, n_bytes long, text_sha256 string")
     unlike = spark.createDataFrame([(b"x", 3, True)], "print binary, n_bytes long, _unlike boolean")
