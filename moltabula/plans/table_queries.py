@@ -17,7 +17,7 @@ from moltabula.functions.bits import pack_words, popcount, unpack_words
 from moltabula.functions.labels import decode_label, encode_label, ensure_label_name
 from moltabula.functions.text import key_digest, normalize_key, tokens
 from moltabula.functions.vectors import as_doubles, dot, l2_norm
-from moltabula.operators import contrastive, dedup, features, fingerprint, metrics, models, overlap, quality
+from moltabula.operators import contrastive, dedup, descent, features, fingerprint, metrics, models, overlap, quality
 from moltabula.operators import rowfn, rules, sampling, similarity, split
 from moltabula.plans import pipelines
 from moltabula.operators.rank import rank_by_value, seeded_hash
@@ -535,6 +535,19 @@ def knn_lsh(spark, folder):
     return tidy(similarity.knn_lsh(stored_prints(spark, folder), k=10))
 
 
+@query
+def knn_descent(spark, folder):
+    return tidy(descent.knn_descent(stored_prints(spark, folder), k=10))
+
+
+@query
+def knn_descent_recall(spark, folder):
+    """Recall of the descent for the rows whose ordinal is divisible by 20, against all rows."""
+    rows = stored_prints(spark, folder)
+    found = written(descent.knn_descent(rows, k=10), "descent")
+    return tidy(descent.neighbour_recall(found, rows, rows.filter("ordinal % 20 = 0"), k=10))
+
+
 @query
 def overlap_nn(spark, folder):
     rows = molecules(spark, folder)

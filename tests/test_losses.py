@@ -176,7 +176,7 @@ def test_size_classes_lose_no_near_neighbour(spark):
     queries, targets = sets.filter("id % 2 = 0"), sets.filter("id % 2 = 1")
     full = {r["id"]: (round(r["score"], 9), r["nn"]) for r in similarity.nearest_sets(queries, targets, ()).collect()}
     for thresholds in ((0.95,), (0.8, 0.5), (0.3,)):
-        got = {r["id"]: (round(r["score"], 9), r["nn"]) for r in similarity.nearest_sets(queries, targets, thresholds).collect()}
+        got = {r["id"]: (round(r["score"], 9), r["nn"]) for r in similarity.nearest_sets(queries, targets, thresholds, keyed=True).collect()}
         assert got == full
 
 

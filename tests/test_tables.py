@@ -7,7 +7,7 @@ from compare import connect, differences
 from moltabula.plans.table_queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS_ONLY = {"knn_lsh", "train_incremental", "linear_probe", "train_mlp"}
+ROWS_ONLY = {"knn_lsh", "knn_descent", "knn_descent_recall", "train_incremental", "linear_probe", "train_mlp"}
 
 
 @pytest.fixture(scope="module")
