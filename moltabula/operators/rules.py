@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from moltabula.functions.vectors import bind
 
 
+MARK = "\uffff\ufffe"
+
+
 @dataclass(frozen=True)
 class Rule:
     """Replace one match of ``pattern`` at a time by ``replacement``, a plain text."""
@@ -54,17 +57,24 @@ def enumerate_designs(starters: DataFrame, starter: str, modules: DataFrame, mod
 
 
 def rewrite_sites(text: Column, pattern: Column, replacement: Column) -> Column:
-    """One candidate per match of a pattern: the text with only that match replaced; empty without a match."""
-    pieces = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    woven = F.flatten(F.zip_with(pieces, hits, lambda piece, hit: F.array(piece, F.coalesce(hit, F.lit("")))))
+    """One candidate per match of a pattern, empty matches included: the text with only that match replaced; none without a match.
+
+    Matches are marked in place, so gaps and matches take turns. The mark consists of two characters that Unicode keeps out of texts; a text that holds
+    it is an error.
+    """
+    marked = F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}"))
+    clean = F.when(F.instr(text, MARK) > 0, F.raise_error(F.lit("a text holds the mark of matches"))).otherwise(marked)
+    woven = F.split(clean, F.lit(MARK), -1)
 
     def candidate(parts: Column, site: Column) -> Column:
         swapped = F.transform(parts, lambda part, at: F.when(at == 2 * site + 1, replacement).otherwise(part))
         return F.array_join(swapped, "")
 
-    sites = F.filter(F.sequence(F.lit(0), F.size(hits)), lambda site: site < F.size(hits))
-    return bind(woven, lambda parts: F.transform(sites, lambda site: candidate(parts, site)))
+    def candidates(parts: Column) -> Column:
+        n = F.floor(F.size(parts) / 2).cast("int")
+        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda site: site < n), lambda site: candidate(parts, site))
+
+    return bind(woven, candidates)
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:

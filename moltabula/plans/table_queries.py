@@ -17,7 +17,7 @@ from moltabula.functions.bits import pack_words, popcount, unpack_words
 from moltabula.functions.labels import decode_label, encode_label, ensure_label_name
 from moltabula.functions.text import key_digest, normalize_key, tokens
 from moltabula.functions.vectors import as_doubles, dot, l2_norm
-from moltabula.operators import contrastive, dedup, descent, features, fingerprint, metrics, models, overlap, quality
+from moltabula.operators import aggregate, contrastive, dedup, descent, features, fingerprint, metrics, models, overlap, quality
 from moltabula.operators import rowfn, rules, sampling, similarity, split
 from moltabula.plans import pipelines
 from moltabula.operators.rank import rank_by_value, seeded_hash
@@ -632,6 +632,23 @@ def udf_map_rows(spark, folder):
     return rowfn.map_rows(rows, pages, "doc_id bigint, page bigint")
 
 
+@query
+def own_geometric_mean(spark, folder):
+    """A caller's aggregate over few groups, one of them hot."""
+    rows = table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").cast("double").alias("price"))
+    found = aggregate.aggregate(rows, ["l_returnflag", "l_linestatus"], ["price"], aggregate.geometric_mean("price"), "geometric_mean double, n bigint")
+    return tidy(found, 4)
+
+
+@query
+def own_top_three(spark, folder):
+    """A caller's aggregate over many groups: the three dearest lines of each order, by their line number."""
+    rows = table(spark, folder, "lineitem").select(
+        "l_orderkey", F.col("l_extendedprice").cast("double").alias("price"), F.col("l_linenumber").cast("bigint").alias("line"))
+    found = aggregate.aggregate(rows, ["l_orderkey"], ["price", "line"], aggregate.greatest(3, "price", "line"), "carried array<bigint>")
+    return found.select("l_orderkey", F.array_join(F.col("carried").cast("array<string>"), ",").alias("lines"))
+
+
 # metrics
 
 

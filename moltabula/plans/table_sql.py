@@ -370,6 +370,11 @@ SQL: dict[str, str] = {
     "expand_one_step": f"""SELECT DISTINCT product FROM (SELECT product FROM ({_rewrites(False)})
         UNION ALL SELECT p_name FROM part) WHERE product NOT IN ('red gear', 'blue rod') AND product <> ''""",
     "udf_map_rows": "SELECT doc_id, unnest(range(0, n_chars // 2000)) AS page FROM documents WHERE n_chars >= 100",
+    "own_geometric_mean": """SELECT l_returnflag, l_linestatus, round(exp(avg(ln(l_extendedprice::DOUBLE))), 4) AS geometric_mean,
+        count(*) AS n FROM lineitem GROUP BY 1, 2""",
+    "own_top_three": """SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY place) AS lines FROM (
+        SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS place
+        FROM lineitem) WHERE place <= 3 GROUP BY 1""",
     "confusion_report": f"WITH {LINES}, {_metrics('rows', 'score', 'hard')} SELECT {RATES} FROM k",
     "roc_auc": f"WITH {LINES}, {_metrics('rows', 'l_extendedprice', 'hard')} SELECT round(roc_auc, 9) AS roc_auc FROM m",
     "average_precision": f"""WITH {LINES}, {_metrics('rows', 'l_extendedprice', 'hard')}

@@ -61,7 +61,7 @@ def load_splits(spark: SparkSession, base: str, splits: tuple[str, ...] = SPLITS
 def read_shards(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
     """All shards of a glob pattern; unreadable and vanished files are passed over.
 
-    A warning says how many files gave no rows; when none does, it is an error.
+    A warning says how many files gave no rows. When none does, that is an error, unless all can be read and are empty.
     """
     target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
@@ -77,7 +77,11 @@ def read_shards(spark: SparkSession, pattern: str, schema: T.StructType) -> Data
     # one name for each file, not for each row
     good = shards.select(F.col("_metadata.file_path").alias("file")).distinct().count()
     if not good:
-        raise ValueError(f"no shard of {pattern} could be read")
+        try:  # shards that can be read may all be empty
+            spark.read.schema(schema).parquet(pattern).limit(1).collect()
+        except Exception as error:
+            raise ValueError(f"no shard of {pattern} could be read") from error
+        return shards
     if good < listed:
         warnings.warn(f"{listed - good} of {listed} shards of {pattern} gave no rows", stacklevel=2)
     return shards

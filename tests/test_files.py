@@ -52,6 +52,18 @@ def test_record_has_null_for_nan(spark, tmp_path):
     assert json.loads(text) == {"auroc": None, "acc": 0.5, "n": 3}
 
 
+def test_empty_shards_are_no_error(spark, tmp_path):
+    path = str(tmp_path / "e")
+    df = spark.createDataFrame([], "index bigint, v string")
+    for i in range(3):
+        df.coalesce(1).write.parquet(f"{path}/shard={i}")
+    assert readers.merge_shards(spark, f"{path}/shard=*", df.schema).collect() == []
+    (tmp_path / "e" / "shard=9").mkdir()
+    (tmp_path / "e" / "shard=9" / "part.parquet").write_text("not a table")
+    with pytest.raises(ValueError):
+        readers.read_shards(spark, f"{path}/shard=9", df.schema)
+
+
 def test_shards_survive_a_broken_file(spark, tmp_path):
     df = spark.range(20).select(F.col("id").alias("index"), (F.col("id") * 2).alias("v"))
     path = str(tmp_path / "s")

@@ -1,5 +1,6 @@
 """Keys, labels, dedup, rules."""
 
+import re
 import warnings
 
 import pytest
@@ -84,6 +85,14 @@ def test_rewrite_one_site_at_a_time(spark):
         ("CSCS", 0, "C[O]CS"), ("CSCS", 1, "CSC[O]"), ("SX", 0, "[O]X")]
 
 
+def test_empty_matches_are_sites(spark):
+    df = spark.createDataFrame([("abc",), ("",), ("b",), ("xyz",)], "s string")
+    for pattern, swap in (("b*", "Z"), ("(?=c)", "-"), ("$", "!"), ("[ab]", "Q"), ("q", "Q")):
+        want = sorted((t, t[:m.start()] + swap + t[m.end():]) for t in ("abc", "", "b", "xyz") for m in re.finditer(pattern, t))
+        got = sorted((r["s"], r["product"]) for r in rules.apply_rules(df, "s", [rules.Rule("r", pattern, swap)]).collect())
+        assert got == want
+
+
 def test_chain_stops_after_a_rule_without_match(spark):
     df = spark.createDataFrame([("ab",), ("b",)], "s string")
     steps = [rules.Rule("one", "a", "x"), rules.Rule("two", "b", "y")]
