@@ -12,6 +12,7 @@ The vectors are numbers without fractions, so a score is an exact sum in double
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,20 @@ SCALE = 256.0
 def whole_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id, norm2, vec``: each component as floor(256 x); rows that are null or hold null or non-finite components are left out.
 
-    Rows without id, and vectors of another length than the most frequent one (the shortest of equals), take no part either.
+    Rows without id, and vectors without components, take no part either. Vectors may differ in length.
     """
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.where("vec_id is not null and size(vec) > 0").where(finite)
-    sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = sizes[0]["d"] if sizes else 0
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat = np.floor(SCALE * batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
+        flat = np.floor(SCALE * batch.column(1).flatten().to_numpy(zero_copy_only=False))
+        ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+        vecs = np.split(flat, ends[:-1])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array((flat * flat).sum(axis=1)), pa.array([v.tobytes() for v in flat], pa.binary())], ["vec_id", "norm2", "vec"])
+            [batch.column(0), pa.array([float(v @ v) for v in vecs], pa.float64()), pa.array([v.tobytes() for v in vecs], pa.binary())], ["vec_id", "norm2", "vec"])
 
-    return arrow_map(rows.where(F.size("vec") == dims), run, "vec_id long, norm2 double, vec binary")
+    return arrow_map(rows, run, "vec_id long, norm2 double, vec binary")
 
 
 def rotation(vectors: DataFrame) -> np.ndarray:
@@ -160,10 +161,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both tables as ``whole_vectors`` gives them. Ties go to the smaller id; a query with fewer candidates has fewer rows. A row is
     never its own answer, nor is another row with the same id; repeated candidate rows count one by one, repeated query
-    ids are asked once, with the least vector. Empty tables give no rows.
+    ids are asked once, with the least vector. Vectors of different lengths have no product, so each length is searched apart (a repeated query id once in each).
+    Empty tables give no rows.
     """
-    schema = "query_id long, vec_id long, score double"
     vectors = written(vectors, "vectors")
+    lengths = [r[0] for r in vectors.select(F.octet_length("vec").alias("n")).distinct().orderBy("n").collect()]
+    if len(lengths) > 1:
+        return reduce(DataFrame.unionByName, [_top_k(vectors.where(F.octet_length("vec") == n), queries.where(F.octet_length("vec") == n), k) for n in lengths])
+    return _top_k(vectors, queries, k)
+
+
+def _top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The search among vectors of one length."""
+    schema = "query_id long, vec_id long, score double"
     basis = rotation(vectors)
     if not basis.size:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")

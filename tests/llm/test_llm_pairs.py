@@ -268,7 +268,7 @@ def test_top_k(spark, blocks, monkeypatch):
         v = rng.normal(size=8) * rng.choice([0.1, 0.5, 2.0])
         rows.append((i, [float(x) for x in np.float32(np.round(v, 1 if i % 2 else 3))], 0, 1))
     rows += [(900 + i, rows[i][1], None, None) for i in range(5)]
-    bad = [(1001, None), (1002, []), (1003, [1.0, None, 0, 0, 0, 0, 0, 0.0]), (1004, [float("nan")] * 8), (1005, [float("inf")] * 8), (1006, [1.0] * 3), (None, [1.0] * 8)]
+    bad = [(1001, None), (1002, []), (1003, [1.0, None, 0, 0, 0, 0, 0, 0.0]), (1004, [float("nan")] * 8), (1005, [float("inf")] * 8), (None, [1.0] * 8)]
     df = vectors(spark, rows + [(i, None if v is None else [None if x is None else float(x) for x in v], 0, 0) for i, v in bad])
     got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect()))
     whole = {i: np.floor(256 * np.float64(np.float32(v))) for i, v, *_ in rows}
@@ -279,5 +279,10 @@ def test_top_k(spark, blocks, monkeypatch):
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == want
     few = vectors(spark, rows[:3])
+    mixed = vectors(spark, [(i, [float(i), 1.0][:1 + i // 100 % 2], 0, 1) for i in (0, 50, 51, 100, 101, 150, 350)])
+    got = sorted(map(tuple, topk.top_k(mixed, mixed.where("vec_id % 50 = 0")).collect()))
+    short, two = [0, 50, 51], [100, 101, 150, 350]
+    assert got == sorted((q, n + 1, i, s) for group in (short, two) for q in group if q % 50 == 0 for n, (s, i) in enumerate(
+        sorted(((65536 * (q * i + (group is two)), i) for i in group if i != q), key=lambda x: (-x[0], x[1]))))
     assert topk.top_k(few, few.where("vec_id % 50 = 0")).count() == 2
     assert topk.top_k(few.where("false"), few.where("false")).count() == 0 and topk.top_k(few, few.where("false")).count() == 0
