@@ -32,7 +32,7 @@ from moltabula.llm.common import arrow_map, id_and_text, slices
 
 LEAF = 2048  # characters of a leaf of the tree
 WINDOW = 8  # tokens on each side of a seam at first
-REMEMBERED = 600_000  # chunks remembered in a worker
+REMEMBERED = 400_000  # chunks remembered in a worker
 SLICE = 4 << 20  # bytes of text that are encoded together
 GROUP = 256  # short pieces in one call of the library
 

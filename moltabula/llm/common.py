@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,10 +42,22 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.Table | pa.
             if batch.num_rows:
                 out = function(batch, *extra)
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+                del out
+        del extra
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return the freed memory of this worker, which later tasks use as well, to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of one string column, a longer value alone."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
