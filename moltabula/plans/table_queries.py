@@ -717,6 +717,12 @@ def supcon_loss(spark, folder):
     return tidy(contrastive.supcon_loss(table(spark, folder, "embeddings"), "embedding", "label", "vec_id", 50))
 
 
+@query
+def supcon_one_batch(spark, folder):
+    """All vectors as one batch, in blocks over the tasks."""
+    return tidy(contrastive.supcon_loss_spread(table(spark, folder, "embeddings"), "embedding", "label", "vec_id", block_rows=512))
+
+
 @query
 def supcon_epoch_mean(spark, folder):
     losses = contrastive.supcon_loss(table(spark, folder, "embeddings"), "embedding", "label", "vec_id", 50, epoch=1)

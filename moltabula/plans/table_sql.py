@@ -173,9 +173,9 @@ gb AS (SELECT DISTINCT g AS graph, a % 2048 AS bit FROM (
 DOT = "list_dot_product(a.e, b.e)"
 
 
-def _supcon(order: str) -> str:
+def _supcon(order: str, size: int = 50) -> str:
     return f"""
-z AS (SELECT vec_id, embedding::DOUBLE[] AS e, label AS y, (row_number() OVER (ORDER BY {order}) - 1) // 50 AS batch
+z AS (SELECT vec_id, embedding::DOUBLE[] AS e, label AS y, (row_number() OVER (ORDER BY {order}) - 1) // {size} AS batch
       FROM embeddings),
 sims AS (SELECT a.batch, a.vec_id AS i, a.y = b.y AS same, {DOT} / 0.1e0 AS s
          FROM z a JOIN z b ON a.batch = b.batch AND a.vec_id <> b.vec_id),
@@ -397,6 +397,7 @@ SQL: dict[str, str] = {
         round(list_dot_product(e, list_reverse(e)), 9) AS mirrored
         FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""",
     "supcon_loss": f"WITH {_supcon('vec_id')} SELECT batch, n, n_anchors, round(loss, 9) AS loss FROM losses",
+    "supcon_one_batch": f"WITH {_supcon('vec_id', 10**15)} SELECT batch, n, n_anchors, round(loss, 9) AS loss FROM losses",
     "supcon_epoch_mean": f"""WITH {_supcon("md5('42|1|' || vec_id), vec_id")}
         SELECT round(avg(loss), 9) AS mean_loss, count(*) AS n_batches FROM losses""",
     "score_from_weights": f"""WITH {MOL}, {BITS},

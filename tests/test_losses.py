@@ -96,6 +96,27 @@ def test_contrastive_batches_of_any_size(spark, monkeypatch):
     assert contrastive.supcon_loss(df, "v", "y", "id", 10_000).first().n == 90
 
 
+@pytest.mark.parametrize("size, block", [(None, 7), (None, 500), (37, 5), (1, 3), (2, 1)])
+def test_batches_spread_over_tasks(spark, size, block):
+    df = spark.range(90).select(
+        (F.col("id") * 3 % 97).alias("o"), F.array(20 * F.sin("id"), 20 * F.cos("id")).alias("v"), (F.col("id") % 40).alias("y"), F.lit("x").alias("batch"), F.lit(0).alias("id"))
+    got = {r.batch: (r.n, r.n_anchors, r.loss) for r in contrastive.supcon_loss_spread(df, "v", "y", "o", size, 0.05, block).collect()}
+    want = {r.batch: (r.n, r.n_anchors, r.loss) for r in contrastive.supcon_loss(df, "v", "y", "o", size or 1000, 0.05).collect()}
+    assert got.keys() == want.keys()
+    for batch, (n, anchors, loss) in want.items():
+        assert got[batch][:2] == (n, anchors)
+        assert got[batch][2] is None if loss is None else abs(got[batch][2] - loss) < 1e-9 * max(1, abs(loss))
+
+
+def test_spread_batches_without_rows_labels_or_vectors(spark):
+    schema = "o long, v array<double>, y int"
+    assert contrastive.supcon_loss_spread(spark.createDataFrame([], schema), "v", "y", "o").collect() == []
+    some = spark.createDataFrame([(1, [1.0], None), (2, [2.0], None), (3, None, 1), (None, [1.0], 1)], schema)
+    assert [tuple(r) for r in contrastive.supcon_loss_spread(some, "v", "y", "o").collect()] == [(0, 2, 0, 0.0)]
+    with pytest.raises(ValueError):
+        contrastive.supcon_loss_spread(some, "v", "y", "o", 0)
+
+
 def test_rows_without_a_score_are_in_no_count(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, None), (0, None)], "label int, score double")
     got = metrics.eval_report(df).first()
