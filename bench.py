@@ -19,7 +19,7 @@ HEADLINE = [
     "average_precision", "even_chunks", "epoch_batches", "weighted_resample", "feature_stats", "standardize",
     "supcon_loss", "score_from_weights", "train_linear", "train_incremental", "score_linear", "linear_probe", "train_mlp",
     "project_2d", "knn_lsh", "tanimoto_nn_prefix", "gram_fingerprint",
-    "knn_descent", "own_geometric_mean", "own_top_three", "supcon_one_batch",
+    "knn_descent", "own_geometric_mean", "own_top_three", "supcon_one_batch", "apply_rules_indexed",
 ]
 
 

@@ -18,7 +18,7 @@ from moltabula.functions.labels import decode_label, encode_label, ensure_label_
 from moltabula.functions.text import key_digest, normalize_key, tokens
 from moltabula.functions.vectors import as_doubles, dot, l2_norm
 from moltabula.operators import aggregate, contrastive, dedup, descent, features, fingerprint, metrics, models, overlap, quality
-from moltabula.operators import rowfn, rules, sampling, similarity, split
+from moltabula.operators import rowfn, rule_index, rules, sampling, similarity, split
 from moltabula.plans import pipelines
 from moltabula.operators.rank import rank_by_value, seeded_hash
 from moltabula.scratch import scratch_path, written
@@ -611,6 +611,26 @@ def apply_rules_chain(spark, folder):
     return tidy(rules.apply_rules(rows, "p_name", REWRITES, chain=True))
 
 
+@query
+def apply_rules_indexed(spark, folder):
+    """5,000 rules over all customers; a name meets the few whose digits it holds."""
+    many = [rules.Rule(f"end {i}", f"{i:04d}$", "last") for i in range(4999)] + [rules.Rule("any", "[#]0+|mer", "~")]
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name")
+    return tidy(rule_index.apply_indexed(rows, "c_name", many))
+
+
+def _halves(text):
+    at = text.index(" ")
+    return [text[:at], text[at + 1:]]
+
+
+@query
+def rule_bodies(spark, folder):
+    """Rules as Python functions; the second one fails on short names."""
+    rows = table(spark, folder, "part").select("p_partkey", "p_name")
+    return tidy(rule_index.apply_bodies(rows, "p_name", {"halves": _halves, "tenth": lambda t: [t[9] + t]}))
+
+
 @query
 def rule_counts(spark, folder):
     return rules.rule_counts(table(spark, folder, "part"), "p_name", REWRITES)

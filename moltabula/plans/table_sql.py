@@ -361,6 +361,16 @@ SQL: dict[str, str] = {
         UNION ALL SELECT s_name, a.n_name || '|' || b.n_name, 2 FROM supplier, nation a, nation b
         WHERE a.n_name <> b.n_name""",
     "apply_rules": f"SELECT p_partkey, p_name, rule_order, rule, site, product FROM ({_rewrites(False)}) JOIN part USING (p_partkey)",
+    "apply_rules_indexed": """SELECT c_custkey, c_name, rule_order, rule, site, product FROM (
+        SELECT c_custkey, c_name, right(c_name, 4)::BIGINT AS rule_order, 'end ' || right(c_name, 4)::BIGINT AS rule, 0::BIGINT AS site,
+          left(c_name, length(c_name) - 4) || 'last' AS product FROM customer WHERE right(c_name, 4)::BIGINT < 4999
+        UNION ALL SELECT c_custkey, c_name, 4999, 'any', 0, replace(c_name, 'mer', '~') FROM customer WHERE contains(c_name, 'mer')
+        UNION ALL SELECT c_custkey, c_name, 4999, 'any', CASE WHEN contains(c_name, 'mer') THEN 1 ELSE 0 END,
+          regexp_replace(c_name, '#0+', '~') FROM customer WHERE regexp_matches(c_name, '#0'))""",
+    "rule_bodies": """SELECT p_partkey, p_name, 0::BIGINT AS rule_order, 'halves' AS rule, 0::BIGINT AS site, split_part(p_name, ' ', 1) AS product
+        FROM part WHERE contains(p_name, ' ')
+        UNION ALL SELECT p_partkey, p_name, 0, 'halves', 1, substr(p_name, instr(p_name, ' ') + 1) FROM part WHERE contains(p_name, ' ')
+        UNION ALL SELECT p_partkey, p_name, 1, 'tenth', 0, substr(p_name, 10, 1) || p_name FROM part WHERE length(p_name) >= 10""",
     "apply_rules_chain": f"SELECT p_partkey, p_name, rule_order, rule, site, product FROM ({_rewrites(True)}) JOIN part USING (p_partkey)",
     "rule_counts": " UNION ALL ".join(
         f"SELECT '{name}' AS rule, count(*) FILTER (regexp_matches(p_name, '{p}')) AS n_matched, "
