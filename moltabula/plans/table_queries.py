@@ -22,7 +22,7 @@ from moltabula.operators import rowfn, rule_index, rules, sampling, similarity,
 from moltabula.plans import pipelines
 from moltabula.operators.rank import rank_by_value, seeded_hash
 from moltabula.scratch import scratch_path, written
-from moltabula.sources import readers, writers
+from moltabula.sources import readers, shards, writers
 from moltabula.sources.resolve import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +204,34 @@ def shard_merge(spark, folder):
     return tidy(readers.merge_shards(spark, f"{path}/shard=*", rows.schema))
 
 
+def _eight_shards(spark, folder):
+    """Orders in eight shards, with an empty one and a broken one beside them."""
+    path = scratch_path(spark, "shards")
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("index"), "o_orderkey", "o_totalprice")
+    marked = rows.withColumn("shard", F.col("index") % 8)
+    marked.repartition(8, "shard").write.partitionBy("shard").parquet(path)
+    rows.limit(0).coalesce(1).write.parquet(f"{path}/shard=empty")
+    rows.selectExpr("'not a table' as value").write.text(f"{path}/shard=broken")
+    return path, rows.schema
+
+
+@query
+def shard_states(spark, folder):
+    path, schema = _eight_shards(spark, folder)
+    expected = [f"shard={i}" for i in range(9)]
+    return shards.shard_states(spark, path, schema, expected).select("shard", "state", "rows")
+
+
+@query
+def shard_merge_checked(spark, folder):
+    """The merged rows with the number of shards that the removal took."""
+    path, schema = _eight_shards(spark, folder)
+    target = scratch_path(spark, "merged")
+    states = shards.merge_good(spark, path, schema, target)
+    removed = shards.remove_merged(spark, path, states, target)
+    return tidy(spark.read.parquet(target).withColumn("n_removed", F.lit(removed)))
+
+
 @query
 def ordered_merge(spark, folder):
     rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey")

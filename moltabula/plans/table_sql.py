@@ -220,6 +220,9 @@ SQL: dict[str, str] = {
     "csv_roundtrip": "SELECT doc_id, text, lang, n_chars FROM documents",
     "parquet_roundtrip": f"WITH {MOL} SELECT ordinal, source FROM mol",
     "shard_merge": "SELECT o_orderkey, round(o_totalprice, 9) AS o_totalprice FROM orders",
+    "shard_states": """SELECT 'shard=' || (o_orderkey % 8) AS shard, 'good' AS state, count(*) AS rows FROM orders GROUP BY 1
+        UNION ALL VALUES ('shard=empty', 'empty', 0), ('shard=broken', 'broken', 0), ('shard=8', 'missing', 0)""",
+    "shard_merge_checked": "SELECT o_orderkey, round(o_totalprice, 9) AS o_totalprice, 9::BIGINT AS n_removed FROM orders",
     "ordered_merge": """SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS place,
         count(*) OVER () AS n FROM orders""",
     "metrics_nan_null": """SELECT l_suppkey, CASE WHEN a >= 0 THEN round(sqrt(a), 6) END AS spread, n FROM (
