@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moltabula.functions.bits import pack_words, popcount, unpack_words
+from moltabula.functions.edits import character_features, edit_bound, edit_similarity
 from moltabula.functions.labels import decode_label, encode_label, ensure_label_name
 from moltabula.functions.text import key_digest, normalize_key, tokens
 from moltabula.functions.vectors import as_doubles, dot, l2_norm
@@ -588,6 +589,25 @@ def overlap_nn(spark, folder):
     return tidy(overlap.overlap_nn(test, train))
 
 
+@query
+def overlap_nn_bounded(spark, folder):
+    """Toxic documents against all others, by groups of like vocabulary."""
+    rows = molecules(spark, folder).select(
+        "ordinal", "source", encode_label(F.col("source")).alias("label"), tokens(F.col("smiles")).alias("tokens"), F.col("key").alias("smiles"))
+    test, train = rows.filter("source = 'PKS'"), rows.filter("source <> 'PKS'")
+    return tidy(overlap.overlap_nn(test, train, buckets=32))
+
+
+@query
+def udf_pair_bounded(spark, folder):
+    """For each page with an id divisible by 20 the most similar address of all other pages by edits."""
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("ordinal"), (F.col("page_id") % 2).cast("int").alias("label"), "url")
+    asked = F.col("ordinal") % 20 == 0
+    found = overlap.best_match_bounded(
+        pages.filter(asked), pages.filter(~asked), edit_similarity, "url", character_features(F.col("url"), URL_CHARACTERS), edit_bound)
+    return tidy(found)
+
+
 @query
 def udf_pair_score(spark, folder):
     items = table(spark, folder, "benchmark").select(
@@ -608,6 +628,7 @@ def neighbour_table(spark, folder):
 # rules
 
 
+URL_CHARACTERS = "abcdefghiklmnoprstuvwxy0123456789"
 REWRITES = [
     rules.Rule("soften", "i", "y"),
     rules.Rule("rename", "bolt|ring", "rod"),

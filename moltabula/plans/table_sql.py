@@ -205,6 +205,26 @@ def _clean(col: str) -> str:
     return f"trim({col}, {WS})"
 
 
+def _overlap(rows: str) -> str:
+    """Best partner in 'train' by multiset overlap, for the 'test' rows of a table ``ordinal, key, source, split``."""
+    return f"""
+tok AS (SELECT ordinal, t, count(*) AS c FROM (SELECT ordinal,
+  unnest(regexp_split_to_array(lower(smiles), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM mol WHERE smiles IS NOT NULL)
+  WHERE t <> '' GROUP BY 1, 2),
+side AS (SELECT a.ordinal, a.key, a.split, CASE WHEN a.source = 'PKS' THEN 1 ELSE 0 END AS label,
+  coalesce((SELECT sum(c) FROM tok WHERE tok.ordinal = a.ordinal), 0)::BIGINT AS n FROM {rows} a),
+shared AS (SELECT a.ordinal AS q, b.ordinal AS t, sum(least(a.c, b.c)) AS common
+  FROM tok a JOIN tok b ON a.t = b.t JOIN side qs ON qs.ordinal = a.ordinal AND qs.split = 'test'
+  JOIN side ts ON ts.ordinal = b.ordinal AND ts.split = 'train' GROUP BY ALL),
+pairs AS (SELECT q.ordinal AS q, t.ordinal AS t, q.label AS ql, t.label AS tl, t.key,
+  coalesce(coalesce(s.common, 0)::DOUBLE / nullif(q.n + t.n - coalesce(s.common, 0), 0), 0) AS score
+  FROM side q JOIN side t ON q.split = 'test' AND t.split = 'train'
+  LEFT JOIN shared s ON s.q = q.ordinal AND s.t = t.ordinal),
+best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS place FROM pairs)
+SELECT q AS ordinal, ql::BIGINT AS true_label, tl::BIGINT AS pred_label, round(score, 9) AS score, key AS nn_text
+FROM best WHERE place = 1"""
+
+
 SQL: dict[str, str] = {
     "text_lines": f"""SELECT doc_id, line FROM (
         SELECT doc_id, {_clean('x')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
@@ -339,22 +359,14 @@ SQL: dict[str, str] = {
         placed AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY score DESC, neighbour) AS place FROM pairs)
         SELECT ordinal, place, neighbour, round(score, 9) AS score FROM placed
         WHERE place <= least(50, greatest(10, (SELECT floor(sqrt(count(*)) / 10) FROM sizes)))""",
-    "overlap_nn": f"""WITH {SPLIT},
-        tok AS (SELECT ordinal, t, count(*) AS c FROM (SELECT ordinal,
-          unnest(regexp_split_to_array(lower(smiles), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM mol WHERE smiles IS NOT NULL)
-          WHERE t <> '' GROUP BY 1, 2),
-        side AS (SELECT a.ordinal, a.key, a.split, CASE WHEN a.source = 'PKS' THEN 1 ELSE 0 END AS label,
-          coalesce((SELECT sum(c) FROM tok WHERE tok.ordinal = a.ordinal), 0)::BIGINT AS n FROM assigned a),
-        shared AS (SELECT a.ordinal AS q, b.ordinal AS t, sum(least(a.c, b.c)) AS common
-          FROM tok a JOIN tok b ON a.t = b.t JOIN side qs ON qs.ordinal = a.ordinal AND qs.split = 'test'
-          JOIN side ts ON ts.ordinal = b.ordinal AND ts.split = 'train' GROUP BY ALL),
-        pairs AS (SELECT q.ordinal AS q, t.ordinal AS t, q.label AS ql, t.label AS tl, t.key,
-          coalesce(coalesce(s.common, 0)::DOUBLE / nullif(q.n + t.n - coalesce(s.common, 0), 0), 0) AS score
-          FROM side q JOIN side t ON q.split = 'test' AND t.split = 'train'
-          LEFT JOIN shared s ON s.q = q.ordinal AND s.t = t.ordinal),
-        best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS place FROM pairs)
-        SELECT q AS ordinal, ql::BIGINT AS true_label, tl::BIGINT AS pred_label, round(score, 9) AS score, key AS nn_text
-        FROM best WHERE place = 1""",
+    "overlap_nn": f"WITH {SPLIT}, {_overlap('assigned')}",
+    "overlap_nn_bounded": f"""WITH {KEYED},
+        parted AS (SELECT *, CASE WHEN source = 'PKS' THEN 'test' ELSE 'train' END AS split FROM keyed), {_overlap('parted')}""",
+    "udf_pair_bounded": """WITH q AS (SELECT * FROM pages WHERE page_id % 20 = 0), t AS (SELECT * FROM pages WHERE page_id % 20 <> 0),
+        p AS (SELECT q.page_id AS q, t.page_id AS t, t.url, 1 - levenshtein(q.url, t.url) / greatest(length(q.url), length(t.url))::DOUBLE AS score FROM q, t),
+        r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS place FROM p)
+        SELECT q::BIGINT AS ordinal, (q % 2)::BIGINT AS true_label, (t % 2)::BIGINT AS pred_label, round(score, 9) AS score, url AS nn_text
+        FROM r WHERE place = 1""",
     "udf_pair_score": """WITH p AS (SELECT item_id, doc_id, n_chars,
           least(length(b.text), n_chars)::DOUBLE / greatest(length(b.text), n_chars) AS score FROM benchmark b, documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM p)
