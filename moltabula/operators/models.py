@@ -142,6 +142,35 @@ def train_mlp(train: DataFrame, validation: DataFrame, features: str = "features
     return models[best], train.sparkSession.createDataFrame(history, "epoch int, val_ap double")
 
 
+def train_mlp_epochs(train: DataFrame, validation: DataFrame, features: str = "features", label: str = "label", width: int = 2048,
+                     hidden: tuple[int, ...] = (512, 256), epochs: int = 25, steps: int = 2, seed: int = 42):
+    """One feed-forward network over ``epochs`` epochs of ``steps`` solver steps, each going on from the weights of the epoch before.
+
+    Returns the model of the epoch with the best validation average precision, the first one on ties, and the history ``(epoch, train_loss,
+    val_ap)``. Rows are stored once for all epochs; the driver holds the weights of the network only. Without validation rows ``val_ap`` is null and
+    the last epoch is kept.
+    """
+    if epochs < 1 or steps < 1:
+        raise ValueError("epochs and steps must be at least 1")
+    rows = written(train.select(features, label), "epochs-train")
+    held_out = written(validation.select(features, label), "epochs-validation")
+    history, best, kept, weights = [], None, None, None
+    for epoch in range(1, epochs + 1):
+        estimator = MultilayerPerceptronClassifier(
+            featuresCol=features, labelCol=label, layers=[width, *hidden, 2], maxIter=steps, seed=seed, blockSize=128
+        )
+        if weights is not None:
+            estimator.setInitialWeights(weights)
+        model = estimator.fit(rows)
+        weights = model.weights
+        loss = model.summary().objectiveHistory[-1]
+        ap = ranking_metrics(score_linear(model, held_out), label, "score").first()["average_precision"]
+        history.append((epoch, float(loss), None if ap is None else float(ap)))
+        if best is None or ap is None or ap > best:
+            best, kept = ap, model
+    return kept, train.sparkSession.createDataFrame(history, "epoch int, train_loss double, val_ap double")
+
+
 def linear_probe(df: DataFrame, vector: str, label: str = "label", held_out: DataFrame | None = None,
                  max_iter: int = 1000) -> DataFrame:
     """Average precision of a balanced linear model on embeddings.

@@ -854,6 +854,21 @@ def score_linear(spark, folder):
     return tidy(scored.select("ordinal", "label", F.round(F.abs(F.col("score") - F.col("again")), 6).alias("difference")))
 
 
+@query
+def linear_weights(spark, folder):
+    """The fitted weights themselves."""
+    train = training_rows(spark, folder).filter(F.col("split") == "train")
+    return tidy(models.coefficients(models.train_linear(train), spark), 6)
+
+
+@query
+def linear_scores(spark, folder):
+    """The scores of the test rows themselves."""
+    rows = written(training_rows(spark, folder), "training")
+    model = models.train_linear(rows.filter(F.col("split") == "train"))
+    return tidy(models.score_linear(model, rows.filter(F.col("split") == "test")).select("ordinal", "label", "score"), 6)
+
+
 @query
 def train_incremental(spark, folder):
     train = split_prints(spark, folder).filter(F.col("split") == "train")
@@ -871,6 +886,23 @@ def linear_probe(spark, folder):
     return tidy(models.linear_probe(probe_rows(spark, folder), "embedding"), 6)
 
 
+def _probe_parts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = probe_rows(spark, folder).withColumn("features", array_to_vector(as_doubles(F.col("embedding"))))
+    placed = split.stratified_split(rows.select("vec_id", "label"), "vec_id").drop("label")
+    return written(rows.join(placed, "vec_id"), "probe")
+
+
+@query
+def mlp_epochs(spark, folder):
+    """The scores of the validation rows from the best of 25 epochs, with its number and its average precision."""
+    parts = _probe_parts(spark, folder)
+    train, held_out = (parts.filter(F.col("split") == s) for s in ("train", "val"))
+    model, history = models.train_mlp_epochs(train, held_out, width=64, hidden=(128, 64))
+    best = metrics.best_epoch(history, "epoch", "val_ap").select(F.struct("best_epoch", "best_val_ap")).scalar()
+    scored = models.score_linear(model, held_out).select("vec_id", "label", "score").withColumn("_best", best)
+    return tidy(scored.select("vec_id", "label", "score", "_best.best_epoch", "_best.best_val_ap"))
+
+
 @query
 def train_mlp(spark, folder):
     rows = probe_rows(spark, folder).withColumn("features", array_to_vector(as_doubles(F.col("embedding"))))
@@ -880,6 +912,13 @@ def train_mlp(spark, folder):
     return tidy(history, 6)
 
 
+@query
+def coordinates_2d(spark, folder):
+    """Both coordinates of every vector."""
+    rows = _probe_parts(spark, folder).select(F.col("vec_id").cast("string").alias("smiles"), F.lit("bio").alias("source"), "split", "label", "features")
+    return tidy(models.project_2d(rows), 6)
+
+
 @query
 def project_2d(spark, folder):
     rows = table(spark, folder, "embeddings").select(

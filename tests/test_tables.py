@@ -8,6 +8,7 @@ from moltabula.plans.table_queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 ROWS_ONLY = {"knn_lsh", "knn_descent", "knn_descent_recall", "train_incremental", "linear_probe", "train_mlp"}
+OUTPUTS = {"linear_weights", "linear_scores", "coordinates_2d", "mlp_epochs"}  # compared with plain computations in test_model_outputs.py
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - OUTPUTS))
 def test_query(spark, duck, name):
     df = contract.queries()[name](spark, FOLDER)
     if name in ROWS_ONLY:
@@ -26,7 +27,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_known():
-    assert set(QUERIES) - set(contract.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(contract.oracle_sql()) == ROWS_ONLY | OUTPUTS
     assert set(QUERIES) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
