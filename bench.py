@@ -21,6 +21,7 @@ HEADLINE = [
     "project_2d", "knn_lsh", "tanimoto_nn_prefix", "gram_fingerprint",
     "knn_descent", "own_geometric_mean", "own_top_three", "supcon_one_batch", "apply_rules_indexed",
     "udf_pair_bounded", "overlap_nn_bounded", "shard_merge_checked", "mlp_epochs", "linear_weights",
+    "corrected_weights", "graph_layout",
 ]
 
 

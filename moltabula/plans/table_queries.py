@@ -18,8 +18,8 @@ from moltabula.functions.edits import character_features, edit_bound, edit_simil
 from moltabula.functions.labels import decode_label, encode_label, ensure_label_name
 from moltabula.functions.text import key_digest, normalize_key, tokens
 from moltabula.functions.vectors import as_doubles, dot, l2_norm
-from moltabula.operators import aggregate, contrastive, dedup, descent, features, fingerprint, metrics, models, overlap, quality
-from moltabula.operators import rowfn, rule_index, rules, sampling, similarity, split
+from moltabula.operators import aggregate, contrastive, corrected, dedup, descent, features, fingerprint, layout, metrics, models, overlap
+from moltabula.operators import quality, rowfn, rule_index, rules, sampling, similarity, split
 from moltabula.plans import pipelines
 from moltabula.operators.rank import rank_by_value, seeded_hash
 from moltabula.scratch import scratch_path, written
@@ -875,6 +875,27 @@ def train_incremental(spark, folder):
     return tidy(models.train_incremental(train, "ordinal"), 6)
 
 
+@query
+def corrected_weights(spark, folder):
+    """The weights of ``linear_weights`` by corrected chunk steps."""
+    train = split_prints(spark, folder).filter(F.col("split") == "train")
+    return tidy(corrected.train_corrected(train)[0], 3)
+
+
+@query
+def corrected_scores(spark, folder):
+    """The test rows by such weights, saved and loaded, with the loss and the greatest slope they were left with."""
+    rows = written(split_prints(spark, folder), "split-prints")
+    train = rows.filter(F.col("split") == "train")
+    weights, history = corrected.train_corrected(train)
+    path = scratch_path(spark, "weights")
+    models.save_weights(weights, models.model_metadata(train, "label", ["on_bits"]), path)
+    scored = models.score_from_weights(rows.filter(F.col("split") == "test"), models.load_weights(spark, path)[0])
+    last = history.agg(F.max(F.struct("round", "loss", "slope")).alias("l")).select("l").scalar()
+    scored = scored.select("ordinal", "label", "score").withColumn("_last", last)
+    return tidy(scored.select("ordinal", "label", "score", F.col("_last.loss").alias("train_loss"), F.col("_last.slope").alias("train_slope")), 4)
+
+
 def probe_rows(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         "vec_id", "embedding", (F.col("label") == 3).cast("int").alias("label")
@@ -919,6 +940,19 @@ def coordinates_2d(spark, folder):
     return tidy(models.project_2d(rows), 6)
 
 
+@query
+def graph_layout(spark, folder):
+    """Every vector placed by the graph of vectors that are positive in the same places, from principal components on."""
+    rows = _probe_parts(spark, folder)
+    positive = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    graph = similarity.knn_graph(rows.select("vec_id", positive.alias("on_bits")), "vec_id", n_bits=64)
+    placed = models.project_2d(rows, columns=("vec_id",))
+    edges = written(layout.symmetric_edges(graph, "vec_id"), "graph")
+    start = placed.select(F.col("vec_id").alias("a"), F.col("component_1").alias("x"), F.col("component_2").alias("y"))
+    found = layout.graph_layout(edges, start).withColumnRenamed("a", "vec_id")
+    return tidy(found, 6)
+
+
 @query
 def project_2d(spark, folder):
     rows = table(spark, folder, "embeddings").select(

@@ -8,7 +8,8 @@ from moltabula.plans.table_queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 ROWS_ONLY = {"knn_lsh", "knn_descent", "knn_descent_recall", "train_incremental", "linear_probe", "train_mlp"}
-OUTPUTS = {"linear_weights", "linear_scores", "coordinates_2d", "mlp_epochs"}  # compared with plain computations in test_model_outputs.py
+# compared with plain computations in test_model_outputs.py, test_corrected.py and test_layout.py
+OUTPUTS = {"linear_weights", "linear_scores", "coordinates_2d", "mlp_epochs", "corrected_weights", "corrected_scores", "graph_layout"}
 
 
 @pytest.fixture(scope="module")
