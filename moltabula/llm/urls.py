@@ -7,7 +7,7 @@ are just the stack, and the longest whose path fits decides.
 
 Cut points between ranges come from quantiles of the hosts, a list of fixed length. A rule goes to
 every range that its interval meets. A host that fills several ranges makes equal cut points; its
-pages spread over those ranges by their id.
+pages spread over those ranges by their id and path.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moltabula.scratch import written
+
 DEFAULT_VERDICT = "allow"
 
 
@@ -72,9 +74,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     sites = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     sites = sites.withColumn("key", reversed_host(F.col("host")))
     # Quantiles of keys, from one row for each host with its number of pages: a table far smaller than the pages.
-    heads = sites.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    heads = written(sites.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "hosts")
     cuts = _cut_points(heads, n_ranges)
-    salt = F.pmod(F.xxhash64("page_id"), F.size("ranges")) + 1
+    salt = F.pmod(F.xxhash64("page_id", "path"), F.size("ranges")) + 1
     placed = (
         sites.withColumn("ranges", _ranges(cuts, F.col("key"), F.col("key")))
         .withColumn("range", F.element_at("ranges", salt.cast("int"))).drop("ranges")
@@ -118,23 +120,24 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 def _cut_points(heads: DataFrame, n_ranges: int) -> list[str]:
     """Up to ``n_ranges - 1`` host keys at about even numbers of pages; a busy host appears several times.
 
-    Each of ``n_ranges`` tasks reduces its hosts to at most 64 quantiles with weights, from a start of its own so that their
-    errors even out; the driver gets a list bounded by 64 times ``n_ranges``, whatever the number of hosts.
+    Hosts are dealt to ``n_ranges`` tasks, sorted by Spark, and each task marks a host whenever a fixed number of pages has gone by, from a start of its
+    own so that their errors even out. A task holds only its marks; the driver gets about 64 times ``n_ranges`` of them, whatever the number of hosts.
     """
-    marks_each = min(64, n_ranges)
+    total = heads.agg(F.sum("n").alias("n")).first()["n"] or 0
+    step = max(1, -(-total // (min(64, n_ranges) * n_ranges)))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        step = max(1, -(-sum(n for _, n in rows) // marks_each))
-        seen, marks = TaskContext.get().partitionId() * 0x9E3779B1 % step, []
-        for key, n in rows:
-            passed = (seen + n) // step - seen // step
-            seen += n
-            if passed:
-                marks.append((key, passed * step))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in marks], pa.string()), pa.array([n for _, n in marks], pa.int64())], ["key", "n"])
-
-    spread = heads.select("key", "n").repartition(n_ranges, "key")
+        seen = TaskContext.get().partitionId() * 0x9E3779B1 % step
+        for batch in batches:
+            marks = []
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                passed = (seen + n) // step - seen // step
+                seen += n
+                if passed:
+                    marks.append((key, passed * step))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in marks], pa.string()), pa.array([n for _, n in marks], pa.int64())], ["key", "n"])
+
+    spread = heads.select("key", "n").repartition(n_ranges, "key").sortWithinPartitions("key")
     marks = sorted((r["key"], r["n"]) for r in spread.mapInArrow(local, "key string, n long").collect())
     total, seen, cuts = sum(n for _, n in marks), 0, []
     for key, n in marks:
