@@ -1,10 +1,16 @@
 """Cases that the operators once lost."""
 
+import math
 import random
+import unicodedata
+import zlib
+from collections import Counter
 
 import numpy as np
+from cases import documents
 from moltabula.llm import bpe, langid, minhash, pii, urls
 from test_llm_pairs import plain_components
+from test_llm_text import plain_viterbi
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -108,3 +114,115 @@ def test_cut_points_are_even(spark):
         assert cuts == sorted(cuts) and len(cuts) in (n - 1, n - 2)
         sizes = np.diff([0, *[int(c[1:6]) for c in cuts], 20_000])
         assert sizes.max() < 2.5 * 20_000 / n
+
+
+def test_pages_without_id_spread_over_the_ranges_of_a_hot_host(spark):
+    pages = [(None, f"https://hot.example.net/p{i}") for i in range(3000)] + [(i, f"https://h{i}.org/") for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    rows = urls.judge(df, urls.rule_table(spark, [urls.Rule("block", "net", "/p1")]), n_ranges=8)
+    got = rows.collect()
+    assert len(got) == 3300 and sum(r.verdict == "block" for r in got) == sum(f"p{i}".startswith("p1") for i in range(3000))
+    sizes = [len(part) for part in rows.rdd.glom().collect()]
+    assert max(sizes) < 1500
+
+
+def test_schemes_in_any_case():
+    anchors = pii.automaton()
+    text = "see HTTP://Example.org/x and Https://b.example, not xhttp:/a.b"
+    assert pii.joined(pii.find_spans(text, anchors)) == "url:4:24,url:29:46"
+
+
+# -- language ID, from the words on ------------------------------------------------------------------
+
+
+def plain_words(text):
+    """Runs of characters that are letters, in lower case. Digits and underscores part words, other number characters vanish."""
+    words, word = [], ""
+    for c in text.lower() + " ":
+        if c.isalnum() and unicodedata.category(c) != "Nd":
+            word += c if c.isalpha() else ""
+        elif word:
+            words.append(word)
+            word = ""
+    return words
+
+
+def plain_grams(word):
+    """Hashes of all runs of 2 to 4 characters of the word between two spaces, but not of runs from space to space."""
+    padded, found = f" {word} ", []
+    for size in (2, 3, 4):
+        for i in range(len(padded) - size + 1):
+            gram = padded[i:i + size]
+            if gram[0] == " " and gram[-1] == " ":
+                continue
+            value = 0
+            for c in gram:
+                value = (value * 0x100000001B3 + ord(c) + 1) % 2**64
+            value = (value + size - 1) % 2**64
+            for shift, factor in ((32, 0x9E3779B97F4A7C15), (29, 0xD1B54A32D192ED03)):
+                value = (value ^ value >> shift) * factor % 2**64
+            found.append((value ^ value >> 32) >> (64 - 16))
+    return found
+
+
+def plain_script(word):
+    return [number for first, number in langid._RANGES if first <= ord(word[0])][-1]
+
+
+def plain_fit(rows):
+    grams, scripts = {}, {}
+    for doc_id, text, lang in rows:
+        if lang is not None and doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            own, used = grams.setdefault(lang, Counter()), scripts.setdefault(lang, Counter())
+            for word in plain_words(text or ""):
+                own.update(plain_grams(word))
+                used[plain_script(word)] += 1
+    languages = sorted(grams)
+    sums = {k: sum(grams[k].values()) + 0.5 * 2**16 for k in languages}
+    allowed = {k: {s for s, n in scripts[k].items() if n >= 0.01 * max(1, sum(scripts[k].values()))} for k in languages}
+    return languages, grams, sums, allowed
+
+
+def plain_identify(text, languages, grams, sums, allowed):
+    words = plain_words(text or "")
+    if not words or not languages:
+        return "und", 0.0, "", 0.0
+    scores, known = [], []
+    for word in words:
+        fits = [plain_script(word) in allowed[k] for k in languages]
+        known.append(any(fits))
+        row = [0.0] * len(languages)
+        if any(fits):
+            for g in plain_grams(word):
+                logs = [math.log((grams[k][g] + 0.5) / sums[k]) for k in languages]
+                row = [r + v - sum(logs) / len(logs) for r, v in zip(row, logs)]
+            row = [r if f else r - 48.0 for r, f in zip(row, fits)]
+        scores.append(row)
+    labels = plain_viterbi(scores, 12.0)
+    letters, sure = Counter(), Counter()
+    for word, j, k in zip(words, labels, known):
+        letters[j] += len(word)
+        sure[j] += len(word) * k
+    best = max(range(len(languages)), key=lambda j: letters[j])
+    cuts = [i for i in range(len(words)) if i == 0 or labels[i] != labels[i - 1]] + [len(words)]
+    spans = ",".join(f"{languages[labels[a]]}:{a}:{b}" for a, b in zip(cuts, cuts[1:]))
+    total = sum(letters.values())
+    return languages[best], sure[best] / total, spans, sum(sure.values()) / total
+
+
+def test_language_of_every_text_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    learned = plain_fit(rows)
+    texts = [(i, t) for i, t, _ in rows] + [(r[0], r[1]) for r in documents() if len(r[1] or "") < 20_000]
+    texts += [(90_001, "the cat and the dog were there " * 9 + "и это было в городе " * 9 + "der hund und die katze nicht " * 9), (90_002, "x²y 12 a_b ④c")]
+    model = langid.fit(docs)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = langid.identify(df, model).collect()
+    assert len(got) == len(texts)
+    want = Counter((i, *(p if j != 1 else round(p, 9) for j, p in enumerate(plain_identify(t, *learned)[:3]))) for i, t in texts)
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 9), r.spans) for r in got) == want
+    full = df.withColumn("lang", df.text.substr(1, 0))
+    kept = Counter(r.doc_id for r in langid.keep_identified(full, model).collect())
+    plain = [(i, plain_identify(t, *learned)) for i, t in texts]
+    assert kept == Counter(i for i, p in plain if p[0] != "und" and p[3] >= langid.MIN_SCORE)
