@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from moltabula.constants import N_BITS
 from moltabula.operators.cells import match_keyed
-from moltabula.operators.similarity import CELL_ROWS, FOUND, _best, _packed, _scores, tanimoto_matcher
+from moltabula.operators.similarity import CELL_ROWS, FOUND, _best, _packed, _scores, _words_of, tanimoto_matcher, with_words
 from moltabula.scratch import written
 
 PIVOTS = 16
@@ -37,7 +37,7 @@ def _measured(sets: DataFrame, pivots: tuple[np.ndarray, np.ndarray], n_bits: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, n = _packed(pa.chunked_array([batch.column(names.index("on_bits"))]), n_bits)
+            own, n = _words_of(pa.table(batch), n_bits)
             away = 1 - np.stack([_scores(own, n, words[:, [j]], counts[[j]]) for j in range(len(counts))], axis=1)
             step = np.floor(np.log2(np.maximum(n, 0.5)) * SIZE_STEP).astype(np.int64) + SIZE_STEP
             group = away.argmin(axis=1) * 1000 + step
@@ -72,6 +72,7 @@ class _Groups:
 
 def _dealt(queries: DataFrame, groups: _Groups, others: bool) -> DataFrame:
     """Each query with the groups it has to meet: the nearest by its bound, or the ``others`` that may hold a better set than ``best`` tells."""
+    queries = queries.drop("words")
     names = queries.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,32 +89,39 @@ def _dealt(queries: DataFrame, groups: _Groups, others: bool) -> DataFrame:
                     row, column = np.nonzero(meets)
                 else:
                     row, column = np.arange(len(home)), home
-                taken = batch.select(["id", "on_bits"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(groups.group[column])], ["id", "on_bits", "key"])
+                taken = batch.select(["id"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(groups.group[column])], ["id", "key"])
 
-    return queries.mapInArrow(run, f"id bigint, on_bits {queries.schema['on_bits'].dataType.simpleString()}, key bigint")
+    return queries.mapInArrow(run, "id bigint, key bigint")
 
 
 def nearest_by_pivots(queries: DataFrame, targets: DataFrame, n_bits: int = N_BITS, n_pivots: int = PIVOTS, cell_rows: int = CELL_ROWS,
-                      seen: dict | None = None) -> DataFrame:
+                      seen: dict | None = None, fewer: bool = False) -> DataFrame | None:
     """``(id, score, nn)`` of every query set, the same as a comparison with all targets gives.
 
-    ``seen``, if given, takes the number of groups and of meetings of a query with a group, first and later ones.
+    With ``fewer`` it stops without a result where the groups left over move more rows than the full grid of cells. ``seen``, if given, takes the number of groups and of meetings of a query with a group, first and later ones.
     """
+    queries, targets = (with_words(side, n_bits) for side in (queries, targets))
     pivots = _pivots(targets, n_pivots, n_bits)
     if not len(pivots[1]):  # all targets are empty: score 0 with the lowest
         lowest = targets.agg(F.min(F.col("ordinals")[0]).alias("nn"))
         return queries.select("id", F.lit(0.0).alias("score")).join(F.broadcast(lowest), F.col("nn").isNotNull())
-    near = written(_measured(targets, pivots, n_bits), "measured")
+    near = written(_measured(targets.drop("on_bits"), pivots, n_bits), "measured")
     groups = _Groups(near, len(pivots[1]))
-    keyed = near.select("id", "on_bits", "ordinals", F.col("group").alias("key"))
-    asked = written(_measured(queries.select("id", "on_bits"), pivots, n_bits).drop("group"), "asked")
+    keyed = near.select("id", "words", "ordinals", F.col("group").alias("key"))
+    asked = written(_measured(queries.select("id", "words"), pivots, n_bits).drop("group"), "asked")
     match = tanimoto_matcher(1, n_bits)
+    own = asked.select("id", "words")
+    # the meetings are pairs of numbers; the sets join them on the way into their cells
     home = written(_dealt(asked, groups, False), "home")
-    first = written(_best(match_keyed(home, keyed, match, FOUND, limit=cell_rows)), "first")
+    first = written(_best(match_keyed(home.join(own, "id"), keyed, match, FOUND, limit=cell_rows)), "first")
     rest = written(_dealt(asked.join(first.select("id", F.col("score").alias("best")), "id"), groups, True), "rest")
     if seen is not None:
         seen.update(groups=len(groups.group), first=home.count(), later=rest.count())
-    later = match_keyed(rest, keyed, match, FOUND, limit=cell_rows)
+    if fewer:
+        n_q, n_t = asked.count(), near.count()
+        if rest.count() > n_q * -(-n_t // cell_rows) + n_t * (-(-n_q // cell_rows) - 1):
+            return None
+    later = match_keyed(rest.join(own, "id"), keyed, match, FOUND, limit=cell_rows)
     found = first.select("id", "score", F.array("nn").alias("ordinals")).unionByName(later)
     return _best(found)
