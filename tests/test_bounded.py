@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,3 +114,16 @@ def test_cuts_of_equal_rows():
     rows = np.array([[0.0], [1.0], [1.0], [1.0]])
     feature, value = bounded._cuts(rows, 2)
     assert len(set(bounded._leaves(rows, feature, value, 2))) == 2
+
+
+def test_meetings_are_numbers_and_bags_few_bytes(spark):
+    """A query meets up to 256 groups, so what is written for a meeting must not hold its tokens."""
+    words = [f"word{i % 180}" for i in range(600)]
+    assert len(overlap._pack_bag(words)) < len(" ".join(words)) / 4
+    codes = overlap._codes(pa.chunked_array([pa.array([overlap._pack_bag(["a", "b", "a"]), overlap._pack_bag([])], pa.binary())]), {"b": 0})
+    assert [list(c) for c in codes] == [[0, 0], [1, 0], [2, 1]]
+    sets = spark.createDataFrame([(i, b"x", [float(i), 1.0]) for i in range(8)], "id long, bag binary, features array<double>")
+    boxes = bounded._Boxes(bounded._grouped(sets, 2), 2)
+    state = sets.select("id", "features", F.lit(-1.0).alias("best"), F.lit(2**62).alias("nn"))
+    dealt = bounded._dealt(state, boxes, overlap.overlap_bound, 2, 0, 1)
+    assert dealt.columns == ["id", "best", "nn", "key"] and dealt.count() == 8
