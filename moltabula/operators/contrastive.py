@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moltabula.operators.cells import match_keyed
+from moltabula.operators.cells import CELLS_PER_CORE, match_keyed
 from moltabula.operators.rank import rank_by_value
 from moltabula.operators.sampling import epoch_batches, fixed_batches
 from moltabula.scratch import written
 
 ANCHOR_ROWS = 1024  # anchors that meet the batch at once
+PAIRS = 1 << 20  # logits at once in a cell
+CELL_BYTES = 1 << 25  # vectors on one side of a cell
 STATE = "id bigint, top double, scaled double, same double, positives bigint"
 
 
@@ -86,8 +90,9 @@ def _state_matcher(temperature: float):
         parts = []
         for cell in spans.itertuples():
             there = slice(cell.t, cell.t + cell.nt)
-            for first in range(cell.q, cell.q + cell.nq, ANCHOR_ROWS):
-                here = slice(first, min(first + ANCHOR_ROWS, cell.q + cell.nq))
+            step = max(1, min(ANCHOR_ROWS, PAIRS // cell.nt))
+            for first in range(cell.q, cell.q + cell.nq, step):
+                here = slice(first, min(first + step, cell.q + cell.nq))
                 own = q_id[here, None] == t_id[None, there]
                 logits = q_v[here] @ t_v[there].T / temperature
                 logits[own] = -np.inf
@@ -107,7 +112,8 @@ def supcon_loss_spread(df: DataFrame, vector: str, label: str, order: str, batch
                        block_rows: int = 4096) -> DataFrame:
     """The results of ``supcon_loss`` for batches that no task could hold; without ``batch_size`` all rows are one batch.
 
-    A batch is cut into blocks of about ``block_rows`` rows, and a task compares a block of anchors with a block of the batch. It returns a state for each anchor, and
+    A batch is cut into blocks of at least about ``block_rows`` rows, and a task compares a block of anchors with a block of the batch. Every row is copied for each block of
+    its batch, so blocks of a large batch grow to ``CELL_BYTES`` of vectors, as long as there are enough of them for all cores. A task returns a state for each anchor, and
     states merge exactly: sums are brought to the greatest logit of all blocks before they are added. Rows with a null vector or a null ``order`` take no part; a null
     label is equal to none.
     """
@@ -118,7 +124,11 @@ def supcon_loss_spread(df: DataFrame, vector: str, label: str, order: str, batch
     batch = F.lit(0) if batch_size is None else F.floor((F.col("id") - 1) / batch_size)
     # both sides of the cells and the counts must see the same positions
     placed = written(ranked.select("id", batch.cast("bigint").alias("batch"), "v", F.coalesce("y", F.lit(float("nan"))).alias("y")), "batches")
-    states = match_keyed(placed, placed, _state_matcher(temperature), STATE, key="batch", limit=block_rows, slot_rows=8 * block_rows)
+    whole = placed.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    met = whole["n"] * min(whole["n"], batch_size or whole["n"])
+    even = math.isqrt(met // (CELLS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)) + 1
+    limit = max(block_rows, min(even, CELL_BYTES // (8 * max(1, whole["width"] or 1))))
+    states = match_keyed(placed, placed, _state_matcher(temperature), STATE, key="batch", limit=limit, slot_rows=max(8 * block_rows, 2 * limit))
     top = F.max("top").over(Window.partitionBy("id"))
     merged = states.withColumn("_top", top).groupBy("id").agg(
         (F.max("_top") + F.log(F.sum(F.col("scaled") * F.exp(F.col("top") - F.col("_top"))))).alias("log_sum"),

@@ -209,3 +209,41 @@ def test_saved_files_come_back(spark, tmp_path):
     weights = spark.createDataFrame([(-1, 0.5), (3, 1.0)], "feature int, weight double")
     models.save_weights(weights, df.limit(1), str(tmp_path / "w"))
     assert rows(models.load_weights(spark, str(tmp_path / "w"))[0]) == [(-1, 0.5), (3, 1.0)]
+
+
+def test_blocks_grow_with_the_batch(spark, monkeypatch):
+    """Each row is copied once for every block of its batch, so blocks of a large batch must not stay small."""
+    taken = {}
+
+    def spy(*args, **options):
+        taken.update(options)
+        return match_keyed(*args, **options)
+
+    match_keyed = contrastive.match_keyed
+    monkeypatch.setattr(contrastive, "match_keyed", spy)
+    df = spark.range(3000).select("id", F.array(F.sin("id"), F.cos("id")).alias("v"), (F.col("id") % 4).alias("y"))
+    got = contrastive.supcon_loss_spread(df, "v", "y", "id", block_rows=10).first()
+    want = contrastive.supcon_loss(df, "v", "y", "id", 3000).first()
+    assert taken["limit"] >= 300 and abs(got.loss - want.loss) < 1e-9
+    monkeypatch.setattr(contrastive, "CELL_BYTES", 16 * 50)
+    contrastive.supcon_loss_spread(df, "v", "y", "id", block_rows=10)
+    assert taken["limit"] == 50
+
+
+def test_alike_rows_are_not_copied_for_each_band(spark, monkeypatch):
+    """Where more pairs share a band than there are, each pair is compared once, and the result is that of the exact graph."""
+    from moltabula.operators import similarity
+
+    keyed = []
+
+    def spy(*args, **options):
+        keyed.append(1)
+        return match_keyed(*args, **options)
+
+    match_keyed = similarity.match_keyed
+    monkeypatch.setattr(similarity, "match_keyed", spy)
+    alike = spark.createDataFrame([(i, [*range(30), 30 + i % 40, 80 + i]) for i in range(120)], "ordinal long, on_bits array<int>")
+    got = {tuple(r) for r in similarity.knn_lsh(alike, k=3).collect()}
+    assert not keyed and got == {tuple(r) for r in similarity.knn_graph(alike, k=3).collect()}
+    apart = spark.createDataFrame([(i, [12 * (i // 2) + j for j in range(10 + i % 2)]) for i in range(300)], "ordinal long, on_bits array<int>")
+    assert {(r["ordinal"], r["neighbour"]) for r in similarity.knn_lsh(apart, k=1).collect()} == {(i, i ^ 1) for i in range(300)} and keyed
