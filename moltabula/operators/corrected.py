@@ -17,6 +17,7 @@ from moltabula.scratch import written
 STEP_SIZES = tuple(2.0**-i for i in range(10))
 NEWTON_STEPS = 3
 INNER_STEPS = 15
+BLOCK_ROWS = 2048
 
 
 class Chunk:
@@ -24,17 +25,27 @@ class Chunk:
 
     def __init__(self, table: pa.Table, width: int):
         lists = table["on_bits"].combine_chunks()
-        self.bits = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        self.rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        self.bits = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int16 if width < 1 << 15 else np.int32)
+        self.starts = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64))
         self.label = table["label"].to_numpy().astype(float)
         self.weight = table["weight"].to_numpy().astype(float)
         self.width = width
 
+    def _blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Some rows at a time, with the row and the number of each of their bits: these take many times the memory of the bits."""
+        for at in range(0, len(self.label), BLOCK_ROWS):
+            rows = slice(at, min(at + BLOCK_ROWS, len(self.label)))
+            starts = self.starts[rows.start:rows.stop + 1]
+            yield rows, np.repeat(np.arange(len(starts) - 1), np.diff(starts)), self.bits[starts[0]:starts[-1]]
+
     def margins(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights=w[self.bits], minlength=len(self.label)) + w[-1]
+        made = [np.bincount(own, weights=w[bits], minlength=rows.stop - rows.start) for rows, own, bits in self._blocks()]
+        return np.concatenate([np.zeros(0), *made]) + w[-1]
 
     def collect(self, values: np.ndarray) -> np.ndarray:
-        sums = np.bincount(self.bits, weights=values[self.rows], minlength=self.width)
+        sums = np.zeros(self.width)
+        for rows, own, bits in self._blocks():
+            sums += np.bincount(bits, weights=values[rows][own], minlength=self.width)
         return np.append(sums, values.sum())
 
     def loss(self, margin: np.ndarray) -> float:
@@ -56,8 +67,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], width: int, chunk_rows: int) -> I
             rows += part.num_rows
             batch = batch.slice(part.num_rows)
             if rows == chunk_rows:
-                yield Chunk(pa.Table.from_batches(held), width)
-                held, rows = [], 0
+                table, held, rows = pa.Table.from_batches(held), [], 0
+                made, table = Chunk(table, width), None
+                yield made
+                made = None
     if rows:
         yield Chunk(pa.Table.from_batches(held), width)
 
@@ -69,6 +82,7 @@ def _sums(rows: DataFrame, per_chunk, width: int, chunk_rows: int) -> np.ndarray
         total = None
         for chunk in _chunks(batches, width, chunk_rows):
             made = per_chunk(chunk)
+            del chunk  # before the next one is built
             total = made if total is None else total + made
         if total is not None:
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"at": np.arange(len(total), dtype=np.int32), "v": total}))

@@ -90,3 +90,24 @@ def test_queries_agree_with_the_solver(spark):
         total += n / (2 * (pos if r.label else n - pos)) * (np.logaddexp(0, margin) - r.label * margin)
     (loss,) = {r.train_loss for r in scored.values()}
     assert abs(loss - total / n) < 0.01 * total / n
+
+
+def test_a_chunk_takes_little_more_than_its_bits():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    n, each, width = 10_000, 250, 2048
+    bits = rng.integers(0, width, n * each, dtype=np.int32)
+    table = pa.table({"on_bits": pa.ListArray.from_arrays(np.arange(0, n * each + 1, each, dtype=np.int32), pa.array(bits)),
+                      "label": pa.array(np.arange(n) % 2), "weight": pa.array(np.ones(n))})
+    w, values = rng.normal(size=width + 1), rng.normal(size=n)
+    tracemalloc.start()
+    chunk = corrected.Chunk(table, width)
+    margins, sums = chunk.margins(w), chunk.collect(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * n * each
+    assert np.allclose(margins, w[bits].reshape(n, each).sum(axis=1) + w[-1])
+    assert np.allclose(sums[:-1], np.bincount(bits, weights=np.repeat(values, each), minlength=width)) and np.isclose(sums[-1], values.sum())
