@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,11 +61,12 @@ def write_training_arrays(df: DataFrame, path: str, on_bits: str = "on_bits", so
     write_record(describe_training_arrays(df.sparkSession.read.parquet(f"{path}/arrays")), f"{path}/description")
 
 
-def describe_training_arrays(arrays: DataFrame) -> DataFrame:
-    """Rows, width and class counts of an export."""
+def describe_training_arrays(arrays: DataFrame, *more: Column) -> DataFrame:
+    """Rows, width and class counts of an export, and ``more`` aggregates in the same pass."""
     return arrays.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.max(F.size("fps")).cast("bigint").alias("width"),
         F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("n_pos"),
         F.coalesce(F.sum(1 - F.col("label")), F.lit(0)).cast("bigint").alias("n_neg"),
+        *more,
     )
