@@ -1,12 +1,14 @@
 """Fingerprints of words, packed and dense forms: the same as plain ones, each word hashed once, each row read once."""
 
 import hashlib
+import random
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from moltabula.functions import bits
 from moltabula.functions.text import spaced_tokens, tokens
+from moltabula.operators import fingerprint
 from moltabula.plans.table_queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,3 +49,33 @@ def test_packed_and_dense_forms(spark):
 def test_export_is_described_in_one_pass(spark):
     plan = QUERIES["ml_export"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1 and "scalar-subquery" not in plan
+
+
+def test_whole_graphs_equal_joined_graphs(spark):
+    rng = random.Random(5)
+    vertices, edges = [], []
+    for g in range(40):
+        n = rng.randint(1, 60 if g == 7 else 9)
+        vertices += [(g, v, rng.choice("CNOS")) for v in range(n)]
+        for _ in range(rng.randint(0, 3 * n)):
+            x, y, bond = rng.randrange(n + 1), rng.randrange(n + 1), rng.choice("-=")  # some ends have no vertex
+            edges += [(g, x, y, bond), (g, y, x, bond)]
+    vertices += [(11, 0, "N"), (50, 0, None), (51, None, "C"), (None, 0, "C"), (52, 0, "C"), (52, 1, "O")]
+    edges += [(52, 0, 1, None), (52, 1, 0, None), (99, 0, 1, "-")]
+    for kind in ("bigint", "string"):
+        v = spark.createDataFrame(vertices, "graph bigint, vertex bigint, label string").selectExpr(f"cast(graph as {kind}) graph", f"cast(vertex as {kind}) vertex", "label").repartition(3)
+        e = spark.createDataFrame(edges, "graph bigint, src bigint, dst bigint, bond string").selectExpr(f"cast(graph as {kind}) graph", f"cast(src as {kind}) src", f"cast(dst as {kind}) dst", "bond").repartition(3)
+        want = sorted(map(tuple, fingerprint._joined_bits(v, e, "graph", "vertex", "label", "src", "dst", "bond", 2, 2048).collect()), key=repr)
+        for slot_rows, large in ((20, 100), (20, 1 << 20)):
+            got = fingerprint.graph_fingerprint(v, e, slot_rows=slot_rows, large=large).collect()
+            assert sorted(map(tuple, got), key=repr) == want
+        sets = {r.graph: (r.on_bits, r.n_on) for r in fingerprint.graph_sets(v, e, slot_rows=20, large=100).collect()}
+        plain = {g: sorted(b for h, b in want if h == g and b is not None) for g, _ in want}
+        assert sets == {g: (b, len(b)) for g, b in plain.items()}
+
+
+def test_small_graphs_are_shuffled_once(spark):
+    v = spark.createDataFrame([(1, 1, "C"), (1, 2, "O")], "graph bigint, vertex bigint, label string")
+    e = spark.createDataFrame([(1, 1, 2, "-"), (1, 2, 1, "-")], "graph bigint, src bigint, dst bigint, bond string")
+    plan = fingerprint.graph_fingerprint(v, e)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
