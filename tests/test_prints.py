@@ -79,3 +79,14 @@ def test_small_graphs_are_shuffled_once(spark):
     e = spark.createDataFrame([(1, 1, 2, "-"), (1, 2, 1, "-")], "graph bigint, src bigint, dst bigint, bond string")
     plan = fingerprint.graph_fingerprint(v, e)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_bit_vectors_of_odd_lists(spark):
+    lists = [[5, 1, 5, 0], [], None, [63, 64, -1, None, 2], [7]]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, on_bits array<int>").coalesce(1)
+    made = fingerprint.bit_vectors(df, n_bits=64)
+    found = {r["id"]: r["features"] for r in made.collect()}
+    for i, want in enumerate(lists):
+        places = None if want is None else sorted({b for b in want if b is not None and 0 <= b < 64})
+        assert found[i] is None if places is None else (found[i].size, found[i].indices.tolist(), found[i].values.tolist()) == (64, places, [1.0] * len(places))
+    assert "as array<string>" not in made._jdf.queryExecution().executedPlan().toString()
