@@ -81,6 +81,20 @@ def test_two_nodes_and_none(spark):
     assert placed(spark, []) == {} and placed(spark, [(1, 1, 1.0), (2, None, 1.0)]) == {}
 
 
+def test_groups_in_a_row_settle(spark):
+    rng = np.random.default_rng(1)
+    pairs = [(20 * c + i, 20 * c + int(j), float(rng.uniform(0.3, 1))) for c in range(12) for i in range(20) for j in rng.integers(0, 20, 4)]
+    pairs += [(20 * c, 20 * c + 20, 0.3) for c in range(11)]
+    checked(placed(spark, pairs), *dense(pairs), tol=1e-3)
+
+
+def test_slices_and_blocks_change_nothing(spark):
+    pairs = ring(60) + [(i, 0, 0.2) for i in range(1, 40)]
+    whole, cut = placed(spark, pairs), placed(spark, pairs, slice_nodes=9, block_edges=40)
+    checked(cut, *dense(pairs), tol=1e-3)
+    assert all(cut[x] == pytest.approx(whole[x], abs=1e-6) for x in whole)
+
+
 def test_query_is_settled(spark):
     rows = QUERIES["graph_layout"](spark, FOLDER).collect()
     assert len({r.vec_id for r in rows}) == len(rows) == spark.read.parquet(f"{FOLDER}/embeddings.parquet").count()
