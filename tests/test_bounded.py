@@ -127,3 +127,16 @@ def test_meetings_are_numbers_and_bags_few_bytes(spark):
     state = sets.select("id", "features", F.lit(-1.0).alias("best"), F.lit(2**62).alias("nn"))
     dealt = bounded._dealt(state, boxes, overlap.overlap_bound, 2, 0, 1)
     assert dealt.columns == ["id", "best", "nn", "key"] and dealt.count() == 8
+
+
+def test_few_candidates_for_the_sample_reach_the_driver(spark, monkeypatch):
+    """The targets of the least hashes, of which no task sends all it has; with ids that repeat too."""
+    monkeypatch.setattr(bounded, "SAMPLE", 50)
+    for ids in (F.col("id"), F.col("id") % 3):
+        rows = spark.range(5000, numPartitions=4).select(ids.alias("id"), F.array(F.col("id").cast("double")).alias("features"))
+        rows = spark.createDataFrame(rows.collect(), rows.schema)
+        want = {r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(50).select(F.xxhash64("id")).collect()}
+        got = spark.createDataFrame([(float(v),) for v in bounded._sample(rows, 5000, 1).ravel()], "v double")
+        assert got.count() == 50
+        id_of = F.col("v").cast("bigint") if str(ids) == str(F.col("id")) else F.col("v").cast("bigint") % 3
+        assert {r[0] for r in got.select(F.xxhash64(id_of)).collect()} == want
