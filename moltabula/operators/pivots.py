@@ -70,8 +70,11 @@ class _Groups:
         return np.maximum(out, 1 - small / np.maximum(large, 1))
 
 
-def _dealt(queries: DataFrame, groups: _Groups, others: bool) -> DataFrame:
-    """Each query with the groups it has to meet: the nearest by its bound, or the ``others`` that may hold a better set than ``best`` tells."""
+def _dealt(queries: DataFrame, groups: _Groups, others: bool, counted: bool = False) -> DataFrame:
+    """Each query with the groups it has to meet: the nearest by its bound, or the ``others`` that may hold a better set than ``best`` tells.
+
+    With ``counted`` only how many they are, as numbers ``n`` to be added up.
+    """
     queries = queries.drop("words")
     names = queries.columns
 
@@ -89,23 +92,27 @@ def _dealt(queries: DataFrame, groups: _Groups, others: bool) -> DataFrame:
                     row, column = np.nonzero(meets)
                 else:
                     row, column = np.arange(len(home)), home
+                if counted:
+                    yield pa.RecordBatch.from_arrays([pa.array([len(row)], pa.int64())], ["n"])
+                    continue
                 taken = batch.select(["id"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(groups.group[column])], ["id", "key"])
 
-    return queries.mapInArrow(run, "id bigint, key bigint")
+    return queries.mapInArrow(run, "n bigint" if counted else "id bigint, key bigint")
 
 
 def nearest_by_pivots(queries: DataFrame, targets: DataFrame, n_bits: int = N_BITS, n_pivots: int = PIVOTS, cell_rows: int = CELL_ROWS,
-                      seen: dict | None = None, fewer: bool = False) -> DataFrame | None:
+                      seen: dict | None = None, fewer: bool = False) -> DataFrame | tuple[DataFrame | None, DataFrame | None]:
     """``(id, score, nn)`` of every query set, the same as a comparison with all targets gives.
 
-    With ``fewer`` it stops without a result where the groups left over move more rows than the full grid of cells. ``seen``, if given, takes the number of groups and of meetings of a query with a group, first and later ones.
+    With ``fewer`` it gives the result, or None where the groups left over move more rows than the full grid of cells, and besides what the first groups held, if it got there. ``seen``, if given, takes the number of groups and of meetings of a query with a group, first and later ones.
     """
     queries, targets = (with_words(side, n_bits) for side in (queries, targets))
     pivots = _pivots(targets, n_pivots, n_bits)
     if not len(pivots[1]):  # all targets are empty: score 0 with the lowest
         lowest = targets.agg(F.min(F.col("ordinals")[0]).alias("nn"))
-        return queries.select("id", F.lit(0.0).alias("score")).join(F.broadcast(lowest), F.col("nn").isNotNull())
+        found = queries.select("id", F.lit(0.0).alias("score")).join(F.broadcast(lowest), F.col("nn").isNotNull())
+        return (found, None) if fewer else found
     near = written(_measured(targets.drop("on_bits"), pivots, n_bits), "measured")
     groups = _Groups(near, len(pivots[1]))
     keyed = near.select("id", "words", "ordinals", F.col("group").alias("key"))
@@ -115,13 +122,15 @@ def nearest_by_pivots(queries: DataFrame, targets: DataFrame, n_bits: int = N_BI
     # the meetings are pairs of numbers; the sets join them on the way into their cells
     home = written(_dealt(asked, groups, False), "home")
     first = written(_best(match_keyed(home.join(own, "id"), keyed, match, FOUND, limit=cell_rows)), "first")
-    rest = written(_dealt(asked.join(first.select("id", F.col("score").alias("best")), "id"), groups, True), "rest")
-    if seen is not None:
-        seen.update(groups=len(groups.group), first=home.count(), later=rest.count())
+    open_ = asked.join(first.select("id", F.col("score").alias("best")), "id")
     if fewer:
         n_q, n_t = asked.count(), near.count()
-        if rest.count() > n_q * -(-n_t // cell_rows) + n_t * (-(-n_q // cell_rows) - 1):
-            return None
+        later = _dealt(open_, groups, True, counted=True).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if later > n_q * -(-n_t // cell_rows) + n_t * (-(-n_q // cell_rows) - 1):
+            return None, first
+    rest = written(_dealt(open_, groups, True), "rest")
+    if seen is not None:
+        seen.update(groups=len(groups.group), first=home.count(), later=rest.count())
     later = match_keyed(rest.join(own, "id"), keyed, match, FOUND, limit=cell_rows)
     found = first.select("id", "score", F.array("nn").alias("ordinals")).unionByName(later)
-    return _best(found)
+    return (_best(found), first) if fewer else _best(found)
